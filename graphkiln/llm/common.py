@@ -28,6 +28,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def filter_after(df: DataFrame, condition: Column) -> DataFrame:
+    """``df`` filtered on columns that are computed once; a plain filter would be pushed below the projections and compute them again.
+
+    A row number, which isn't deterministic, keeps the filter in place.
+    """
+    marked = df.withColumn("_mark", F.monotonically_increasing_id())
+    return marked.filter((F.col("_mark") >= 0) & condition).drop("_mark")
+
+
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

@@ -73,3 +73,18 @@ g AS (SELECT u.source, bin, abs(upto - (target - whole * source_size)) AS gap, t
 c AS (SELECT source, CASE WHEN min(gap) < min(rest) THEN arg_min(bin, (gap, bin)) + 1 ELSE 0 END AS cutoff FROM g GROUP BY source)
 SELECT b.doc_id, size, source_size, target, ((whole + CASE WHEN bin < cutoff THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM b JOIN e ON b.source IS NOT DISTINCT FROM e.source JOIN c ON b.source IS NOT DISTINCT FROM c.source"""
+
+
+def jaccard_groups(size: int = 4, percent: int = 85) -> str:
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + {size} - 1), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size} + 1, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r(id, at) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.v FROM r JOIN e ON r.at = e.u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(at) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphkiln.llm.common import let, total, words
+from graphkiln.llm.common import filter_after, let, total, words
 
 #: Relative frequencies of frequent words in general text of four languages (rounded, public word counts).
 WORD_REFERENCES = {
@@ -77,7 +77,7 @@ def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     w = F.col("_words")
     grams = F.when(
         F.size(w) >= 3,
-        F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
+        let(w, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 3), lambda i: F.xxhash64(F.get(a, i), F.get(a, i + 1), F.get(a, i + 2)))),
     ).otherwise(F.array().cast("array<bigint>"))
     df = df.select(
         *docs.columns,
@@ -149,4 +149,4 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
     df = with_figures(docs.withColumn("_all", F.struct("*")).select("_all", F.col(text).alias("_text")), "_text")
-    return df.filter(~(base_failed() | diverges())).select("_all.*")
+    return filter_after(df, ~(base_failed() | diverges())).select("_all.*")

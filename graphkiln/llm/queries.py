@@ -7,21 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphkiln.llm import mixing, oracles, pii, quality, sharding
+from graphkiln.llm import bpe, html_text, jaccard, mixing, oracles, pii, quality, sharding, url_filter
 
 #: The shards of the sharding query.
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
+#: The explicit rules of the URL filter's query: (verdict, host, path).
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars", "n_blocks")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), report="replaced")
     return changed.select("doc_id", "text", F.size("replaced").alias("n_replaced"), F.transform("replaced", lambda x: F.concat_ws(":", x["kind"], x["value"])).alias("replaced"))
@@ -36,9 +50,24 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("_row.doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_pii_pseudonyms, op6_sharding, op7_source_mixing)}
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number its path ends in; that document's labels are the page's."""
+    page = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})[^/0-9]*/?$", 1).try_cast("long")
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_page"), good.alias("good"))
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), labels, RULES, page=page)
+    return judged.select("page_id", "host", "path", "template", "rule", "verdict")
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
+
+
+_ALL = (op1_html_text, op2_quality_rules, op3_byte_bpe, op4_pii_pseudonyms, op6_sharding, op7_source_mixing, op8_url_filter, op10_ngram_jaccard)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
     "op2_quality_rules": oracles.quality_rules(),
     "op6_sharding": oracles.sharding(SHARDS),
     "op7_source_mixing": oracles.source_mixing(),
+    "op10_ngram_jaccard": oracles.jaccard_groups(),
 }
