@@ -150,11 +150,11 @@ def _blocks(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         open_ = (of[:, None] != of[None, :]) & (np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * percent) & (doc[:, None] < doc[None, :])
         if pdf["i"].iat[0] != pdf["j"].iat[0]:
             open_ &= block[:, None] != block[None, :]
-        open_ &= _overlaps(pdf["before"]) == 0
+        open_ &= overlaps(pdf["before"]) == 0
         used = np.flatnonzero(open_.any(0) | open_.any(1))
         if not len(used):
             return pd.DataFrame({"a": np.array([], "int64"), "b": np.array([], "int64")})
-        shared = _overlaps(pdf["set"].iloc[used])
+        shared = overlaps(pdf["set"].iloc[used])
         n = size[used]
         found = open_[np.ix_(used, used)] & (shared * 100 >= (n[:, None] + n[None, :] - shared) * percent)
         x, y = np.nonzero(found)
@@ -163,7 +163,7 @@ def _blocks(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("t", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def _overlaps(sets: pd.Series) -> np.ndarray:
+def overlaps(sets: pd.Series) -> np.ndarray:
     """How many elements each two sets share, from those that are in two or more, a stretch of them at a time."""
     out = np.zeros((len(sets), len(sets)), "float32")
     lengths = [len(x) for x in sets]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphkiln.llm import bpe, html_text, jaccard, mixing, oracles, pii, quality, sharding, url_filter
+from graphkiln.llm import bpe, chat, forest, html_text, jaccard, mixing, oracles, pii, quality, sharding, url_filter
 
 #: The shards of the sharding query.
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
@@ -41,6 +41,10 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("doc_id", "text", F.size("replaced").alias("n_replaced"), F.transform("replaced", lambda x: F.concat_ws(":", x["kind"], x["value"])).alias("replaced"))
 
 
+def op5_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -59,14 +63,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "template", "rule", "verdict")
 
 
+def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
 
-_ALL = (op1_html_text, op2_quality_rules, op3_byte_bpe, op4_pii_pseudonyms, op6_sharding, op7_source_mixing, op8_url_filter, op10_ngram_jaccard)
+_ALL = (op1_html_text, op2_quality_rules, op3_byte_bpe, op4_pii_pseudonyms, op5_embedding_forest, op6_sharding, op7_source_mixing, op8_url_filter, op9_quote_linking, op10_ngram_jaccard)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
     "op2_quality_rules": oracles.quality_rules(),
+    "op5_embedding_forest": oracles.embedding_groups(),
     "op6_sharding": oracles.sharding(SHARDS),
     "op7_source_mixing": oracles.source_mixing(),
     "op10_ngram_jaccard": oracles.jaccard_groups(),
