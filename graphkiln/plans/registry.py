@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from graphkiln.plans import doc_queries, eval_queries, graph_queries, more_queries, search_queries, text_queries, vector_queries
+
+MODULES = (graph_queries, search_queries, text_queries, vector_queries, eval_queries, doc_queries, more_queries)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    found: dict = {}
+    for module in MODULES:
+        found |= module.QUERIES
+    return found
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    found: dict = {}
+    for module in MODULES:
+        found |= module.ORACLES
+    return found
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return graph_queries.resolve_and_rewire(spark, sf_dir)
