@@ -61,17 +61,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` returned, once all that is made from it is written as well."""
+    _written.remove((df.sparkSession, df._written_at))
+    _delete(df.sparkSession, df._written_at)
 
 
 def release() -> None:
     """Remove what ``materialize`` wrote."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_written.pop())
         except Exception:  # noqa: BLE001  the session may be over
             continue
 

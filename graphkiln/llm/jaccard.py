@@ -31,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphkiln.functions.ship import ship
-from graphkiln.llm.common import bounded_broadcast, filter_after, let, materialize, words
+from graphkiln.llm.common import bounded_broadcast, discard, filter_after, let, materialize, words
 from graphkiln.llm.components import components
 
 #: LOW's share of the hash range, as a multiple of the prefix's share of a set.
-LOW = 1.7
+LOW = 1.5
 #: N-grams in more documents than this are frequent: last in the first order.
 FREQUENT = 40
 #: Seeds of the orders by which the lists' pivots are chosen, by round.
@@ -75,12 +75,17 @@ def _prefix(hashes: Column, seed: int, size: Column) -> Column:
 
 
 def _verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b): filters of the second and third order, then the whole sets."""
-    side = lambda x: known.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "second", "third", "set")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.select("a", "b", "n_a", "n_b", shared.alias("s"))
+    """The linked ones of ``pairs`` (a, b): first those that pass the second and third order, then their whole sets.
+
+    known: doc, n, second, third, set. Only the sets of documents that are in pairs still are shuffled.
+    """
+    side = lambda x, columns: known.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    pairs = pairs.join(side("a", ("second", "third")), "a").join(side("b", ("second", "third")), "b")
+    pairs = materialize(pairs.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"), "jaccard-pairs")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-paired")
+    known = known.join(bounded_broadcast(ids, ids.count()), "doc", "left_semi")
+    both = pairs.join(side("a", ("n", "set")), "a").join(side("b", ("n", "set")), "b")
+    both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("s"))
     return both.filter(F.col("s") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("s")) * percent).select("a", "b")
 
 
@@ -90,7 +95,8 @@ def _lists(ordered: DataFrame) -> DataFrame:
     ordered: (doc, n, need, order). A stretch beyond the needed length is looked at first; only documents that have too
     few other n-grams in it are gone through whole.
     """
-    stretch = ordered.select("doc", "n", "need", F.posexplode(F.slice("order", 1, 2 * F.col("need") + 8)).alias("at", "t"))
+    stretch = materialize(ordered.select("doc", "n", "need", F.slice("order", 1, 2 * F.col("need") + 8).alias("order")), "jaccard-stretch")
+    stretch = stretch.select("doc", "n", "need", F.posexplode("order").alias("at", "t"))
     busy = materialize(stretch.groupBy("t").count().filter(F.col("count") > FREQUENT).select("t", F.lit(True).alias("busy")), "jaccard-busy")
     busy = bounded_broadcast(busy, busy.count())
 
@@ -190,12 +196,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     low = -(1 << 63) + int(share * (1 << 64)) if share < 1 else (1 << 63) - 1
     made = sets(docs, key, text, size)
     digest = F.struct(F.xxhash64("set").alias("x"), F.xxhash64("set", F.lit(1)).alias("y"), F.size("set").alias("n"))
-    signed = materialize(made.select("doc", F.size("set").alias("n"), digest.alias("sig"), F.filter("set", lambda h: h < low).alias("low")), "jaccard-low")
+    lows = materialize(made.select("doc", F.size("set").alias("n"), digest.alias("sig"), F.filter("set", lambda h: h < low).alias("low")), "jaccard-low")
+    signed = materialize(lows.select("doc", "n", "sig"), "jaccard-signed")
 
     first = materialize(signed.filter("n > 0").groupBy("sig").agg(F.min("doc").alias("rep")), "jaccard-copies")
     copies = signed.filter("n > 0").select("doc", "sig").join(first, "sig").filter("doc <> rep").select("doc", "sig").distinct()
     copies = materialize(copies, "jaccard-dropped")
-    single = signed.filter("n > 0 AND doc IS NOT NULL").join(bounded_broadcast(copies, copies.count()), ["doc", "sig"], "left_anti").drop("sig")
+    single = lows.filter("n > 0 AND doc IS NOT NULL").join(bounded_broadcast(copies, copies.count()), ["doc", "sig"], "left_anti").drop("sig")
 
     tokens = single.select("doc", F.explode("low").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
@@ -205,6 +212,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     left = left.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<hot:boolean,t:bigint>>")))
     left = left.select("doc", "shared", (p - (F.col("n_low") - F.size("shared"))).alias("need")).filter("need > 0")
     left = materialize(left, "jaccard-left")
+    discard(lows)
 
     # The whole sets are made again from the texts, for the documents that are left only.
     ids = left.select("doc").distinct()
@@ -214,7 +222,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     calm = F.transform(F.filter("shared", lambda x: ~x["hot"]), lambda x: x["t"])
     busy = F.transform(F.filter("shared", lambda x: x["hot"]), lambda x: x["t"])
     order = F.concat(F.sort_array(calm), F.filter("set", lambda h: h >= low), F.sort_array(busy))
-    ordered = materialize(whole.join(left, "doc").select("doc", "n", "need", order.alias("order")), "jaccard-order")
+    ordered = whole.join(left, "doc").select("doc", "n", "need", order.alias("order"))
     listed = materialize(_lists(ordered), "jaccard-prefix")
 
     links = listed.select("doc").limit(0).select(F.col("doc").alias("a"), F.col("doc").alias("b"))
