@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphkiln.functions.cut import cut
+
 
 def remap_endpoints(edges: DataFrame, remap: DataFrame) -> DataFrame:
     """Both ends replaced by their canonical ids (remap: node_id, canonical_id); unmapped ends stay."""
@@ -21,7 +23,7 @@ def flatten_map(remap: DataFrame, max_rounds: int = 64) -> DataFrame:
         nxt = flat.select(F.col("node_id").alias("canonical_id"), F.col("canonical_id").alias("_next"))
         joined = flat.join(nxt, "canonical_id", "left")
         moved = joined.select("node_id", F.when(F.col("_next") == F.col("node_id"), F.col("canonical_id")).otherwise(F.coalesce("_next", "canonical_id")).alias("canonical_id"), (F.col("_next").isNotNull() & (F.col("_next") != F.col("node_id"))).alias("_moved"))
-        moved = moved.checkpoint() if moved.sparkSession.conf.get("spark.checkpoint.dir", None) else moved
+        moved = cut(moved)
         flat = moved.drop("_moved")
         if not moved.filter("_moved").limit(1).count():
             break
@@ -151,6 +153,8 @@ def bfs(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     frontier = seen
     for depth in range(1, max_depth + 1):
         frontier = links.join(frontier.select("id"), "id", "left_semi").select(F.col("target").alias("id")).distinct()
-        frontier = frontier.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = cut(frontier.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if not frontier.limit(1).count():
+            break
         seen = seen.unionByName(frontier)
     return seen

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphkiln.functions.cut import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -60,17 +62,12 @@ def components(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> Data
     """(id, root): min-label propagation with pointer jumping over pairs (a, b); lineage is cut every round."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
     labels = nodes.select("id", F.col("id").alias("root"))
-    context = nodes.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphkiln-"))
-    labels = labels.checkpoint()
+    labels = cut(labels)
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("root").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        step = step.join(jump, "root").select("id", "old", F.least("root", "far").alias("root")).checkpoint()
+        step = cut(step.join(jump, "root").select("id", "old", F.least("root", "far").alias("root")))
         labels = step.select("id", "root")
         if not step.filter("old <> root").limit(1).count():
             return labels
