@@ -156,7 +156,7 @@ def looks_negative(text: Column) -> Column:
 
 
 def looks_vietnamese(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike("(?i)[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]")
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]")
 
 
 def name_key(name: Column) -> Column:

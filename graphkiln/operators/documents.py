@@ -41,10 +41,10 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", strategy: s
 
 
 def token_windows(docs: DataFrame, key: str, text: str, most: int, overlap: int) -> DataFrame:
-    """(key, at, tokens): windows of tokens in the JVM."""
+    """(key, start, tokens): windows of tokens in the JVM."""
     rows = docs.select(key, t.tokens(F.col(text)).alias("all")).filter("size(all) > 0")
     starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(most - overlap))
-    return rows.select(key, "all", F.explode(starts).alias("at")).select(key, "at", F.slice("all", F.col("at") + 1, most).alias("tokens"))
+    return rows.select(key, "all", F.explode(starts).alias("start")).select(key, "start", F.slice("all", F.col("start") + 1, most).alias("tokens"))
 
 
 def word_count(text: Column) -> Column:

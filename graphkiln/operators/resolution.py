@@ -59,12 +59,12 @@ def merge_records(records: DataFrame) -> DataFrame:
     """
     order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("source_file", "pos", F.col(c).alias("x")))), lambda x: x["x"])
     merged = records.groupBy("id").agg(
-        F.min("source_file").alias("source_file"), F.array_distinct(F.flatten(order("labels"))).alias("labels"),
-        t.aliases(F.array_distinct(F.flatten(order("aliases")))).alias("aliases"), F.array_sort(F.array_distinct(F.flatten(order("description")))).alias("description"),
+        F.min("source_file").alias("first_file"), F.array_distinct(F.flatten(order("labels"))).alias("all_labels"),
+        t.aliases(F.array_distinct(F.flatten(order("aliases")))).alias("all_aliases"), F.array_sort(F.array_distinct(F.flatten(order("description")))).alias("all_description"),
         F.count("*").alias("n_records"),
     )
     uses = records.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    return merged.join(canonical_names(uses), "id", "left")
+    return merged.withColumnsRenamed({"first_file": "source_file", "all_labels": "labels", "all_aliases": "aliases", "all_description": "description"}).join(canonical_names(uses), "id", "left")
 
 
 def longest(values: str, order: str) -> Column:

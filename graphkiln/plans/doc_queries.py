@@ -107,7 +107,7 @@ def strip_metadata(spark, d) -> DataFrame:
     return rows.select("doc_id", documents.strip_metadata(F.col("m")).alias("body"), F.try_element_at(documents.parse_metadata(F.col("m")), F.lit("Lang")).alias("value"))
 
 
-@query(r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS l FROM documents) SELECT doc_id, at::INTEGER AS at, l[at + 1 : at + 100] AS tokens FROM (SELECT doc_id, l, unnest(range(0, len(l), 80)) AS at FROM w)")
+@query(r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS l FROM documents) SELECT doc_id, k::INTEGER AS start, l[k + 1 : k + 100] AS tokens FROM (SELECT doc_id, l, unnest(range(0, len(l), 80)) AS k FROM w)")
 def token_windows(spark, d) -> DataFrame:
     return documents.token_windows(table(spark, d, "documents"), "doc_id", "text", 100, 20)
 

@@ -119,7 +119,7 @@ def flatten_map(spark, d) -> DataFrame:
     return graph.flatten_map(c.select(name(F.col("c_custkey")).alias("node_id"), name(F.col("c_custkey") - 1).alias("canonical_id")))
 
 
-@query(f"{G}, g AS (SELECT id, count(*) AS degree FROM (SELECT unnest([source, target]) AS id FROM edges) GROUP BY id), t AS (SELECT nodes.id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN g USING (id) ORDER BY degree DESC, nodes.id LIMIT 1500) SELECT t.id, t.degree, (SELECT count(*) FROM (SELECT 1 FROM edges WHERE source IN (SELECT id FROM t) AND target IN (SELECT id FROM t) LIMIT 3000)) AS n_edges FROM t")
+@query(f"{G}, g AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id), t AS MATERIALIZED (SELECT nodes.id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN g ON g.id = nodes.id ORDER BY degree DESC, nodes.id LIMIT 1500), k AS MATERIALIZED (SELECT least(3000, count(*)) AS n_edges FROM edges JOIN t a ON a.id = source JOIN t b ON b.id = target) SELECT t.id, t.degree, k.n_edges FROM t, k")
 def degree_topn(spark, d) -> DataFrame:
     top, kept = graph.top_subgraph(star.nodes(spark, d), star.edges(spark, d), 1500, 3000)
     return top.join(F.broadcast(kept.agg(F.count("*").alias("n_edges"))))

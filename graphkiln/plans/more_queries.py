@@ -91,7 +91,7 @@ def resolve_cluster(spark, d) -> DataFrame:
     return inner.select(F.col("cluster").alias("label"), F.when(F.col("similarity") >= 0.01, "person").otherwise("split").alias("decision"))
 
 
-@query("SELECT n_regionkey AS cluster, count(*) * (count(*) - 1) // 2 AS n_pairs, true AS person_ok FROM nation GROUP BY n_regionkey HAVING count(*) > 1")
+@query("SELECT a.n_regionkey AS cluster, count(*) AS n_pairs, bool_and(round(100.0 * 2 * (7 + CASE WHEN list_has_any(string_split(substr(a.n_name, 8), ''), string_split(substr(b.n_name, 8), '')) THEN 1 ELSE 0 END) / (length(a.n_name) + length(b.n_name))) / 100 >= 0.8) AS person_ok FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey GROUP BY 1")
 def validate_person(spark, d) -> DataFrame:
     ship(spark)
     n = table(spark, d, "nation").select(F.col("n_regionkey").alias("cluster"), F.col("n_nationkey").alias("a"), F.lower("n_name").alias("x"))
@@ -197,7 +197,7 @@ def silhouette(spark, d) -> DataFrame:
     return per.agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"))
 
 
-@query("SELECT c_custkey, c_nationkey, sum(c_acctbal) > 0 AS positive FROM customer GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 2")
+@query("SELECT c_custkey, c_nationkey, c_acctbal > 0 AS positive FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 2")
 def update_embedding(spark, d) -> DataFrame:
     """The first rows of each group are chosen for renewal."""
     order = Window.partitionBy("c_nationkey").orderBy("c_custkey")

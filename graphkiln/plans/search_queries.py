@@ -170,9 +170,9 @@ def id_remap_proposals(spark, d) -> DataFrame:
     return proposals.select(F.explode("ids").alias("node_id"), F.get("ids", F.lit(0)).alias("canonical_id")).filter("node_id <> canonical_id")
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE round(100.0 * 2 * (7 + CASE WHEN list_has_any(string_split(substr(a.n_name, 8), ''), string_split(substr(b.n_name, 8), '')) THEN 1 ELSE 0 END) / (length(a.n_name) + length(b.n_name))) / 100 >= 0.8")
 def split_person(spark, d) -> DataFrame:
-    """Pairs of a region whose names are alike enough to be one (all NATION_n are)."""
+    """Pairs of a region whose names are alike enough to be one."""
     n = table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"))
     other = n.select("n_regionkey", F.col("a").alias("b"), F.col("x").alias("y"))
     ship(spark)

@@ -160,7 +160,7 @@ def filter_url(spark, d) -> DataFrame:
     return table(spark, d, "pages").filter(~found).select("page_id", "url")
 
 
-@query(r"SELECT doc_id, list_distinct(regexp_extract_all(x, '\[([^\]]+)\]', 1)) = ['1', 'b'] AS ok, len(list_distinct(regexp_extract_all(x, '\[([^\]]+)\]', 1)))::INTEGER AS n FROM (SELECT doc_id, '[1] ' || left(text, 20) || ' [b] [1]' AS x FROM documents WHERE text NOT LIKE '%[%')")
+@query(r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(x, '\[([^\]]+)\]', 1))) = ['1', 'b'] AS ok, len(list_distinct(regexp_extract_all(x, '\[([^\]]+)\]', 1)))::INTEGER AS n FROM (SELECT doc_id, '[1] ' || left(text, 20) || ' [b] [1]' AS x FROM documents WHERE text NOT LIKE '%[%')")
 def extract_citations(spark, d) -> DataFrame:
     found = t.citations(F.concat(F.lit("[1] "), F.left("text", F.lit(20)), F.lit(" [b] [1]")))
     docs = table(spark, d, "documents").filter(~F.col("text").contains("["))
