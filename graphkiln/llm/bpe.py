@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from graphkiln.functions.ship import ship
 
-CACHE = 300_000
+#: Pieces and prefixes, and pairs of tokens, that a worker remembers.
+CACHE, PAIRS = 200_000, 300_000
 STRETCH = 1 << 18
 #: Pieces up to so many bytes are memoised by prefix; longer ones get a table of their own.
 SHORT = 48
@@ -56,7 +57,7 @@ class Vocabulary:
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._left: dict[int, list[int] | None] = {}
         self._right: dict[int, list[int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes and for tokens that no merge makes."""
@@ -86,11 +87,12 @@ class Vocabulary:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of ``a`` and ``b`` together gives these two tokens."""
-        known = self._pairs.get((a, b))
+        key = a << 32 | b
+        known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= 4 * CACHE:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self._apart(a, b)
+            known = self._pairs[key] = self._apart(a, b)
         return known
 
     def _apart(self, a: int, b: int) -> bool:
