@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from graphkiln.functions.ship import ship
+from graphkiln.llm.common import free_name
 
 #: Pieces and prefixes, and pairs of tokens, that a worker remembers.
 CACHE, PAIRS = 200_000, 300_000
@@ -261,8 +262,9 @@ def _rows(df: DataFrame, column: str, add: dict[str, T.DataType], make) -> DataF
     """``df`` with columns that ``make(values)`` yields row by row from one column; equal names are replaced."""
     ship(df.sparkSession)
     kept = [c for c in df.columns if c not in add]
-    df = df.select(*[f"`{c}`" for c in kept], df[f"`{column}`"].alias("_input"))
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != "_input"), *(T.StructField(c, t) for c, t in add.items())])
+    given = free_name(df, "_input")
+    df = df.select(*[f"`{c}`" for c in kept], df[f"`{column}`"].alias(given))
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != given), *(T.StructField(c, t) for c, t in add.items())])
     kinds = {T.BinaryType(): pa.binary(), T.LongType(): pa.int64(), T.StringType(): pa.string()}
     types = [kinds[t] for t in add.values()]
 
@@ -270,7 +272,7 @@ def _rows(df: DataFrame, column: str, add: dict[str, T.DataType], make) -> DataF
         each = make()
         for batch in batches:
             made: list[list] = [[] for _ in types]
-            for value in batch.column("_input"):
+            for value in batch.column(given):
                 for out, x in zip(made, each(value.as_py()), strict=True):
                     out.append(x)
             columns = [batch.column(c) for c in kept]

@@ -37,6 +37,13 @@ def filter_after(df: DataFrame, condition: Column) -> DataFrame:
     return marked.filter((F.col("_mark") >= 0) & condition).drop("_mark")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from graphkiln.functions.ship import ship
+from graphkiln.llm.common import free_name
 
 SIGMA = 1.0
 #: Share of the content lines' text that the region must hold.
@@ -197,12 +198,13 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     ship(pages.sparkSession)
     add = {text: T.StringType(), "n_chars": T.LongType(), "n_blocks": T.LongType()}
     kept = [c for c in pages.columns if c not in add]
-    df = pages.select(*[f"`{c}`" for c in kept], pages[f"`{html}`"].alias("_input"))
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != "_input"), *(T.StructField(c, t) for c, t in add.items())])
+    given = free_name(pages, "_input")
+    df = pages.select(*[f"`{c}`" for c in kept], pages[f"`{html}`"].alias(given))
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != given), *(T.StructField(c, t) for c, t in add.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(value.as_py()) for value in batch.column("_input")]
+            found = [blocks(value.as_py()) for value in batch.column(given)]
             texts = ["\n".join(x) for x in found]
             made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, found), pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *add])

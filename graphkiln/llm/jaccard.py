@@ -216,7 +216,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     # The whole sets are made again from the texts, for the documents that are left only.
     ids = left.select("doc").distinct()
-    again = docs.join(bounded_broadcast(ids, left.count()).withColumnRenamed("doc", "_left"), F.col(f"`{key}`") == F.col("_left"), "left_semi")
+    again = docs.select(key, text).join(bounded_broadcast(ids, left.count()).withColumnRenamed("doc", key), key, "left_semi")
     whole = filter_after(sets(again, key, text, size), F.size("set") > 0).withColumn("n", F.size("set"))
     whole = materialize(whole.select("doc", "n", "set", _prefix(F.col("set"), 2, p).alias("second"), _prefix(F.col("set"), 3, p).alias("third")), "jaccard-sets")
     calm = F.transform(F.filter("shared", lambda x: ~x["hot"]), lambda x: x["t"])
@@ -241,13 +241,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: the rows whose id is their group's (rows with a null id stay); repeated ids are kept once."""
     found = materialize(groups(docs, key, text, size, percent), "jaccard-found")
-    gone = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    gone = materialize(gone, "jaccard-gone")
-    kept = docs.join(bounded_broadcast(gone, gone.count()), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
-    again = materialize(found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_again")).count().filter("count > 1").select("_again"), "jaccard-repeated")
+    gone = materialize(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "jaccard-gone")
+    columns = [f"`{c}`" for c in docs.columns]
+    kept = docs.join(bounded_broadcast(gone, gone.count()), key, "left_anti").select(*columns)
+    again = materialize(found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key), "jaccard-repeated")
     n_again = again.count()
     if not n_again:
         return kept
-    at = F.col(f"`{key}`") == F.col("_again")
-    once = kept.join(bounded_broadcast(again, n_again), at, "left_anti")
-    return once.unionByName(kept.join(bounded_broadcast(again, n_again), at, "left_semi").dropDuplicates([key]))
+    again = bounded_broadcast(again, n_again)
+    once, more = kept.join(again, key, "left_anti"), kept.join(again, key, "left_semi")
+    return once.select(*columns).unionByName(more.dropDuplicates([key]).select(*columns))

@@ -195,14 +195,15 @@ def pseudonyms(matches: Column, key: str = KEY) -> Column:
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, report: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text``; ``report`` names an added array<struct<kind, value>> of what was replaced, in text order."""
-    t = F.col(f"`{text}`")
+    t = F.col("_text")
     near = t.rlike("[0-9@]")
     none = F.array().cast("array<string>")
-    found = docs.select("*", F.when(near, F.regexp_extract_all(t, F.lit(SEARCH), F.lit(0))).otherwise(none).alias("_found"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col(f"`{text}`").alias("_text"))
+    found = rows.select("*", F.when(near, F.regexp_extract_all(t, F.lit(SEARCH), F.lit(0))).otherwise(none).alias("_found"))
     found = found.select("*", F.when(F.size("_found") > 0, pseudonyms(F.col("_found"), key)).otherwise(F.array().cast("array<struct<kind:string,value:string>>")).alias("_new"))
     joined = F.array_join(F.zip_with(F.split(t, SEARCH, -1), F.col("_new"), lambda part, new: F.concat(part, F.coalesce(new["value"], F.lit("")))), "")
     changed = F.when(F.size("_found") > 0, joined).otherwise(t)
-    out = [changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != report]
+    out = [changed.alias(c) if c == text else F.col(f"_all.`{c}`").alias(c) for c in docs.columns if c != report]
     if report:
         out.append(F.filter("_new", lambda x: x["kind"].isNotNull()).alias(report))
     return found.select(*out)

@@ -140,13 +140,17 @@ def diverges(q: str = "_q") -> Column:
     return ~F.col(f"{q}.foreign") & (far | both)
 
 
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """(_all: the row, _q: its figures); packing keeps names from clashing."""
+    return with_figures(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col(f"`{text}`").alias("_text")), "_text")
+
+
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus the struct ``_q`` and booleans ``base_failed`` and ``kept`` (existing columns of these names are replaced)."""
-    df = with_figures(docs.drop("_q", "base_failed", "kept"), text)
-    return df.withColumns({"base_failed": base_failed(), "kept": ~(base_failed() | diverges())})
+    """``docs`` plus the struct ``_q`` and booleans ``base_failed`` and ``kept`` (columns of these names are replaced)."""
+    old = [F.col(f"_all.`{c}`").alias(c) for c in docs.columns if c not in ("_q", "base_failed", "kept")]
+    return _packed(docs, text).select(*old, "_q", base_failed().alias("base_failed"), (~(base_failed() | diverges())).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    df = with_figures(docs.withColumn("_all", F.struct("*")).select("_all", F.col(text).alias("_text")), "_text")
-    return filter_after(df, ~(base_failed() | diverges())).select("_all.*")
+    return filter_after(_packed(docs, text), ~(base_failed() | diverges())).select("_all.*")
