@@ -5,7 +5,8 @@ number of tags. Each line's ratio of text to tags is smoothed by a Gaussian and
 into content and rest. The content region is the page element that holds the content lines: the ``article`` or ``main``
 element with the most of them or, without such elements, the smallest element that encloses nearly all of them. Its
 blocks are returned in page order, short ones included, but for elements that are never main text (menus, page headers,
-footers, sidebars, notices, adverts, forms, reader comments), which are known by tag, role, class or id.
+footers, sidebars, notices, adverts, forms, reader comments), which are known by tag, role, class or id; on pages without
+such an element, lines outside the content clusters that are nearly all links go as well.
 
 Defined results: null or empty html gives an empty text; white space (any that ``str.split`` knows) inside a block becomes
 one space; blocks are joined by one newline; unclosed and misnested tags are tolerated. Pages are independent: no shuffle,
@@ -29,6 +30,8 @@ from graphkiln.llm.common import free_name
 SIGMA = 1.0
 #: Share of the content lines' text that the region must hold.
 ENCLOSED = 0.95
+#: Share of a line that is links from which it is no prose.
+LINKS = 0.8
 
 #: Elements by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
@@ -54,6 +57,9 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        #: For each line whether nearly all of it is links.
+        self.links: list[bool] = []
+        self.in_link, self.linked = False, 0
         #: Open elements: (tag, number, hidden)
         self.open: list[tuple[str, int, bool]] = []
         self.made, self.tags, self.text = 0, 0, []
@@ -64,8 +70,9 @@ class Lines(HTMLParser):
         if text:
             hidden = bool(self.open) and self.open[-1][2]
             self.lines.append((text, self.tags, not hidden, tuple(n for _, n, _ in self.open)))
+            self.links.append(self.linked >= LINKS * len(text))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def hides(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in SILENT or tag in ASIDE:
@@ -91,7 +98,9 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag == "br":
+        if tag == "a":
+            self.in_link = True
+        elif tag == "br":
             self.text.append(" ")
         elif tag in ("td", "th"):
             self.text.append(" ")
@@ -129,6 +138,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.in_link = False
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 if tag in BLOCKS:
@@ -141,6 +152,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.open or self.open[-1][0] in BLOCKS:
             self.text.append(data)
+            self.linked += len(data) * self.in_link
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -190,7 +202,10 @@ def blocks(html: str | None) -> list[str]:
     else:
         enough = [n for n, w in held.items() if w >= ENCLOSED * sum(weigh)]
         region = max(enough, default=0)
-    return [text for text, _, ok, around in lines if ok and (not region or region in around)]
+    kept = [k for k, (_, _, ok, around) in enumerate(lines) if ok and (not region or region in around)]
+    if not mains:  # without a marked article, lists of links between the blocks go too
+        kept = [k for k in kept if content[k] or not parser.links[k]]
+    return [lines[k][0] for k in kept]
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

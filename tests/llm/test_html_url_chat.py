@@ -108,3 +108,10 @@ def test_long_conversation(spark):
         assert r.parent_turn is None or r.parent_turn in seen
         seen.add(r.turn)
     assert len(seen) == 1500
+
+
+def test_link_lists():
+    words = "many words of running text that make up a paragraph of some length here"
+    page = f"<body><p>{words}</p><p>{words}</p><div><a>one</a> <a>two</a> <a>three</a></div><div><a>four</a> <a>five</a></div><p>Short end.</p><p>{words} <a>link</a></p></body>"
+    assert html_text.blocks(page) == [words, words, "Short end.", f"{words} link"]
+    assert html_text.blocks(page.replace("body>", "article>")) == [words, words, "one two three", "four five", "Short end.", f"{words} link"]
