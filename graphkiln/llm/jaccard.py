@@ -200,7 +200,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     signed = materialize(lows.select("doc", "n", "sig"), "jaccard-signed")
 
     first = materialize(signed.filter("n > 0").groupBy("sig").agg(F.min("doc").alias("rep")), "jaccard-copies")
-    copies = signed.filter("n > 0").select("doc", "sig").join(first, "sig").filter("doc <> rep").select("doc", "sig").distinct()
+    copies = signed.filter("n > 0").select("doc", "sig").join(first, "sig").filter("doc <> rep").select("doc", "sig")
     copies = materialize(copies, "jaccard-dropped")
     single = lows.filter("n > 0 AND doc IS NOT NULL").join(bounded_broadcast(copies, copies.count()), ["doc", "sig"], "left_anti").drop("sig")
 
