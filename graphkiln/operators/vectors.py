@@ -61,6 +61,7 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
 def components(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, root): min-label propagation with pointer jumping over pairs (a, b); lineage is cut every round."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
+    both = cut(both)
     labels = nodes.select("id", F.col("id").alias("root"))
     labels = cut(labels)
     for _ in range(max_rounds):
