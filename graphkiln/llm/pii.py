@@ -5,10 +5,11 @@ the same format, so a value becomes the same pseudonym in every document and dif
 
 - numbers of 12 to 19 digits: all but the last digit are permuted; the last keeps its distance from the Luhn check digit,
   so valid card numbers stay valid and others stay invalid
-- telephone numbers: up to ten last digits; IPv4 addresses: as 2 x 16 bits
+- telephone numbers: up to ten last digits, without the country code or leading zero; IPv4 addresses: as 2 x 16 bits
 - US social security numbers (valid area, group, serial): as their rank among the valid ones
-- IBANs (mod 97 right): the account digits, with new check digits
-- dates (valid ones from 1800 to 2199): as their day among the 146,097 of the 400 years
+- IBANs (mod 97 right): all account digits, with new check digits; more than 18 in two stretches, each with the other as tweak
+- dates (valid ones from 1800 to 2199; day, month and year in either order or year first): as their day among the 146,097 of
+  the 400 years
 - e-mail addresses: letters and digits of the local part (letters become lower case), the domain stays
 - hexadecimal secrets of 32 digits and more: a keyed digest of the same length
 
@@ -29,16 +30,33 @@ from graphkiln.llm.common import let
 KEY = "graphkiln-pii-1"
 ROUNDS = 8
 DATES_FROM, DATES = "1800-01-01", 146_097
+#: So many digits are one number of the network.
+STRETCH = 18
+#: Country codes of telephone numbers, by length.
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: In telephone numbers: what may stand between two digits, and what can't follow.
+_GAP, _END = r"\)?[ .\-/]?\(?", r"(?![0-9]|[\-/.:,][0-9])"
+#: Telephone numbers of a country code whose length is known, of three groups behind an area code, of any other country code,
+#: and national ones: pairs, behind a zero (9 to 13 digits), and nine digits without one.
+PHONES = (
+    rf"(?<![0-9+])\+(?:1(?:{_GAP}[0-9]){{10}}|3[34](?:[ ]?\(0\))?(?:{_GAP}[0-9]){{9}}|44(?:[ ]?\(0\))?(?:{_GAP}[0-9]){{10}}){_END}",
+    r"(?:(?<![0-9+])\+[0-9]{1,3}[ .\-]?)?(?<![0-9])(?:\([0-9]{2,4}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
+    rf"(?<![0-9+])\+[0-9](?:{_GAP}[0-9]){{7,14}}{_END}",
+    r"(?<![0-9+])\+[0-9]{8,15}(?![0-9])",
+    rf"(?<![0-9+:.,/\-])0[1-9](?:[ .\-][0-9]{{2}}){{4}}{_END}",
+    rf"(?<![0-9+:.,/\-])(?=\(?0[0-9]{{1,5}}\)?[ /\-])\(?0(?:\)?[ /\-]?[0-9]){{8,12}}{_END}",
+    rf"(?<![0-9+:.,/\-])(?<![0-9][ ])(?:[6-9][0-9]{{2}}(?: [0-9]{{3}} [0-9]{{3}}(?! [0-9])|-[0-9]{{3}}-[0-9]{{3}}|(?:[ \-][0-9]{{2}}){{3}})|9[0-9] [0-9]{{3}} [0-9]{{2}} [0-9]{{2}}){_END}",
+)
 #: Alternatives of the search pattern, by kind, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9]|[\-/.][0-9])",
+    "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9]|[\-/.][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"(?:(?<![0-9+])\+[0-9]{1,3}[ .\-]?)?(?<![0-9])(?:\([0-9]{2,4}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9])",
-    "number": r"(?<![0-9])(?:[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{12,19})(?![0-9])",
+    "number": r"(?<![0-9])(?:[0-9]{4}([ \-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{4,5})|[0-9]{12,19})(?![0-9])",
+    "phone": "|".join(PHONES),
 }
 SEARCH = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -103,15 +121,21 @@ def _kind(m: Column) -> Column:
 
 def _date(m: Column) -> Column:
     """struct(day, form): days since DATES_FROM, null unless valid; form: ymd, dmy or mdy."""
-    ymd = F.try_to_date(m, "yyyy-MM-dd")
-    flat = F.translate(m, ".", "/")
-    dmy, mdy = F.try_to_date(flat, "dd/MM/yyyy"), F.try_to_date(flat, "MM/dd/yyyy")
+    part = lambda *at: F.try_to_date(F.concat_ws("-", *[F.get(F.split(m, r"[/.\-]"), F.lit(k)) for k in at]), "yyyy-M-d")
+    dmy = part(2, 1, 0)
     form = F.when(m.rlike("^[0-9]{4}"), "ymd").when(dmy.isNotNull(), "dmy").otherwise("mdy")
-    day = F.when(m.rlike("^[0-9]{4}"), ymd).otherwise(F.coalesce(dmy, mdy))
+    day = F.when(m.rlike("^[0-9]{4}"), part(0, 1, 2)).otherwise(F.coalesce(dmy, part(2, 0, 1)))
     n = F.date_diff(day, F.lit(DATES_FROM).cast("date"))
     return F.struct(F.when((n >= 0) & (n < DATES), n).cast("long").alias("day"), form.alias("form"))
 
 
+def _subscriber(m: Column, d: Column) -> Column:
+    """A telephone number's last digits, at most ten, without country code and leading zero."""
+    known = F.when(m.startswith("+"), F.regexp_extract(d, f"^{COUNTRY}", 0)).when(m.rlike(f"^(?:{PHONES[1]})$"), "").otherwise(F.regexp_extract(d, f"^(?:00{COUNTRY}|0)", 0))
+    left = F.length(d) - F.length(known) - m.contains("(0)").cast("int")
+    return F.right(d, F.least(F.lit(10), left))
+
+
 def _halves(m: Column) -> Column:
     """What the Feistel network gets for a match: its parts by kind."""
     d = F.regexp_replace(m, "[^0-9]", "")
@@ -121,7 +145,10 @@ def _halves(m: Column) -> Column:
     code = F.substring(F.regexp_replace(local, "[^a-z0-9]", ""), 1, 24)
     date = _date(m)
     iban = F.regexp_replace(m, " ", "")
-    body = F.when(kind == "number", F.substr(d, F.lit(1), F.length(d) - 1)).when(kind == "phone", F.right(d, F.lit(10))).when(kind == "iban", F.substring(F.regexp_replace(F.substring(iban, 5, 100), "[^0-9]", ""), 1, 18)).when(kind == "email", code).otherwise(d)
+    account = F.regexp_replace(F.substring(iban, 5, 100), "[^0-9]", "")
+    first = F.when(F.length(account) > STRETCH, (F.length(account) / 2).cast("int")).otherwise(F.length(account))
+    tail = F.when(kind == "iban", F.substr(account, first + 1, F.lit(100))).otherwise("")
+    body = F.when(kind == "number", F.substr(d, F.lit(1), F.length(d) - 1)).when(kind == "phone", _subscriber(m, d)).when(kind == "iban", F.substr(account, F.lit(1), first)).when(kind == "email", code).otherwise(d)
 
     def parts(x: Column) -> Column:
         kind, body, day = x["kind"], x["body"], x["date"]["day"]
@@ -139,22 +166,40 @@ def _halves(m: Column) -> Column:
         of = lambda ssn, date, ip, email, digits: F.when(kind == "ssn", ssn).when(kind == "date", date).when(kind == "ip", ip).when(kind == "email", email).otherwise(digits)
         lit = lambda n: F.lit(n).cast("long")
         return F.struct(
-            kind.alias("kind"), valid.alias("valid"), body.alias("body"), x["date"]["form"].alias("form"), la.alias("la"), lb.alias("lb"),
+            kind.alias("kind"), valid.alias("valid"), body.alias("body"), x["tail"].alias("tail"), x["date"]["form"].alias("form"), la.alias("la"), lb.alias("lb"),
             of((area - F.when(area > 666, 2).otherwise(1)) * 99 + _long(F.substring(body, 4, 2)) - 1, F.floor(day / 773), octet(0) * 256 + octet(1), _long(F.conv(left, 36, 10)), _long(left)).alias("l"),
             of(_long(F.substring(body, 6, 4)) - 1, F.pmod(day, lit(773)), octet(2) * 256 + octet(3), _long(F.conv(right, 36, 10)), _long(right)).alias("r"),
             of(lit(898 * 99), lit(DATES // 773), lit(65536), F.get(p36, la), F.get(p10, la)).alias("a"),
             of(lit(9999), lit(773), lit(65536), F.get(p36, lb), F.get(p10, lb)).alias("b"),
-            F.concat_ws(":", kind, F.length(body).cast("string"), F.when(kind == "email", F.regexp_replace(F.lower(F.substring_index(m, "@", 1)), r"[\x00-\x7F]", ""))).alias("tweak"),
+            F.concat_ws(":", kind, F.length(body).cast("string"), F.when(kind == "email", F.regexp_replace(F.lower(F.substring_index(m, "@", 1)), r"[\x00-\x7F]", "")).when(x["tail"] != "", x["tail"])).alias("tweak"),
         )
 
-    return let(F.struct(kind.alias("kind"), body.alias("body"), date.alias("date"), iban.alias("iban")), parts)
+    return let(F.struct(kind.alias("kind"), body.alias("body"), tail.alias("tail"), date.alias("date"), iban.alias("iban")), parts)
+
+
+def _pad(v: Column, n: Column) -> Column:
+    return F.when(n > 0, F.lpad(v.cast("string"), n, F.lit("0"))).otherwise("")
+
 
+def _digits(x: Column, y: Column) -> Column:
+    return F.concat(_pad(y["l"], x["la"]), _pad(y["r"], x["lb"]))
 
-def _render(m: Column, x: Column, y: Column, key: str) -> Column:
-    """The pseudonym of the match ``m`` with parts ``x`` and permuted halves ``y``."""
+
+def _permuted_tail(tail: Column, digits: Column, key: str) -> Column:
+    """An account's later digits, permuted under its new first ones."""
+    la = (F.length(tail) / 2).cast("int")
+    lb = F.length(tail) - la
+    p10 = _powers(10, STRETCH)
+    left, right = _long(F.substr(tail, F.lit(1), la)), _long(F.substr(tail, la + 1, lb))
+    moved = feistel(left, right, F.get(p10, la), F.get(p10, lb), F.concat_ws(":", F.lit("iban-tail"), F.length(tail).cast("string"), digits), key)
+    return F.when(tail != "", let(moved, lambda y: F.concat(_pad(y["l"], la), _pad(y["r"], lb)))).otherwise("")
+
+
+def _render(m: Column, x: Column, y: Column, tail: Column, key: str) -> Column:
+    """The pseudonym of the match ``m`` with parts ``x``, permuted halves ``y`` and an IBAN's permuted ``tail``."""
     kind = x["kind"]
     pad = lambda v, n: F.lpad(v.cast("string"), n, F.lit("0"))
-    digits = F.concat(F.when(x["la"] > 0, pad(y["l"], x["la"])).otherwise(""), pad(y["r"], x["lb"]))
+    digits = _digits(x, y)
     d = F.regexp_replace(m, "[^0-9]", "")
     check = F.pmod(_long(F.right(d, F.lit(1))) - luhn(x["body"]) + luhn(digits), F.lit(10))
     number = refill(m, "[0-9]", F.concat(digits, check.cast("string")))
@@ -163,8 +208,11 @@ def _render(m: Column, x: Column, y: Column, key: str) -> Column:
     rank = F.floor(y["l"] / 99)
     ssn = F.concat_ws("-", pad(rank + F.when(rank >= 665, 2).otherwise(1), F.lit(3)), pad(F.pmod(y["l"], F.lit(99)) + 1, F.lit(2)), pad(y["r"] + 1, F.lit(4)))
     day = F.date_add(F.lit(DATES_FROM).cast("date"), (y["l"] * 773 + y["r"]).cast("int"))
-    slashed = F.when(x["form"] == "dmy", F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
-    date = F.when(x["form"] == "ymd", F.date_format(day, "yyyy-MM-dd")).when(m.contains("."), F.translate(slashed, "/", ".")).otherwise(slashed)
+    fields = F.when(m.rlike("(?<![0-9])[0-9](?![0-9])"), F.date_format(day, "d M yyyy")).otherwise(F.date_format(day, "dd MM yyyy"))
+    field = lambda k: F.get(F.split(fields, " "), F.lit(k))
+    mark = lambda k: F.get(F.regexp_extract_all(m, F.lit("[^0-9]"), F.lit(0)), F.lit(k))
+    order = lambda i, j, k: F.concat(field(i), mark(0), field(j), mark(1), field(k))
+    date = F.when(x["form"] == "ymd", order(2, 1, 0)).when(x["form"] == "dmy", order(0, 1, 2)).otherwise(order(1, 0, 2))
     base36 = lambda v, n: F.when(n > 0, F.lpad(F.lower(F.conv(v.cast("string"), 10, 36)), n, F.lit("0"))).otherwise("")
     local = F.lower(F.substring_index(m, "@", 1))
     code = F.concat(base36(y["l"], x["la"]), base36(y["r"], x["lb"]))
@@ -173,8 +221,9 @@ def _render(m: Column, x: Column, y: Column, key: str) -> Column:
     ascii_local = refill(F.regexp_replace(local, r"[^\x00-\x7F]", "é"), "[a-z0-9]", F.concat(code, rest))
     email = F.concat(refill(ascii_local, "é", F.concat(foreign, foreign)), F.lit("@"), F.lower(F.substring_index(m, "@", -1)))
     solid = F.regexp_replace(m, " ", "")
-    moved = F.concat(F.substring(solid, 1, 2), F.lit("00"), refill(F.substring(solid, 5, 100), "[0-9]", digits))
-    iban = refill(m, "[A-Z0-9]", F.concat(F.substring(moved, 1, 2), pad(98 - mod97(moved), F.lit(2)), F.substring(moved, 5, 100)))
+    moved = F.concat(F.substring(solid, 1, 2), F.lit("00"), refill(F.substring(solid, 5, 100), "[0-9]", F.concat(digits, tail)))
+    checked = let(moved, lambda v: F.concat(F.substring(v, 1, 2), pad(98 - mod97(v), F.lit(2)), F.substring(v, 5, 100)))
+    iban = let(checked, lambda v: refill(m, "[A-Z0-9]", v))
     digest = F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lower(m)).cast("binary"), 512), F.lit(1), F.length(m))
     secret = F.when(m == F.upper(m), F.upper(digest)).otherwise(digest)
     chosen = F.when(kind == "number", number).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "date", date).when(kind == "email", email).when(kind == "iban", iban).when(kind == "secret", secret)
@@ -186,7 +235,10 @@ def pseudonyms(matches: Column, key: str = KEY) -> Column:
 
     def one(m: Column) -> Column:
         def permuted(x: Column) -> Column:
-            return let(feistel(x["l"], x["r"], x["a"], x["b"], x["tweak"], key), lambda y: F.struct(F.when(x["valid"], x["kind"]).alias("kind"), _render(m, x, y, key).alias("value")))
+            def value(y: Column) -> Column:
+                return let(_permuted_tail(x["tail"], _digits(x, y), key), lambda tail: _render(m, x, y, tail, key))
+
+            return let(feistel(x["l"], x["r"], x["a"], x["b"], x["tweak"], key), lambda y: F.struct(F.when(x["valid"], x["kind"]).alias("kind"), value(y).alias("value")))
 
         return let(_halves(m), permuted)
 
