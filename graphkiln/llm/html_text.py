@@ -2,11 +2,11 @@
 
 Parser events of the standard library's HTMLParser are turned into lines (one per block element) with their text and the
 number of tags. Each line's ratio of text to tags is smoothed by a Gaussian and the lines are clustered by a threshold
-into content and rest. The content region is the page element that holds the content lines: the ``article`` or ``main``
-element with the most of them or, without such elements, the smallest element that encloses nearly all of them. Its
-blocks are returned in page order, short ones included, but for elements that are never main text (menus, page headers,
-footers, sidebars, notices, adverts, forms, reader comments), which are known by tag, role, class or id; on pages without
-such an element, lines outside the content clusters that are nearly all links go as well.
+into content and rest. The content region is the page element that holds the content lines: the ``article`` and ``main``
+elements, if they have at least half of them together, or else the smallest element that encloses nearly all of them. Its blocks are returned in page order, short ones included, but for elements that are never main text (menus, page headers,
+footers, sidebars, notices, adverts, forms, reader comments), which are known by tag, role, class or id; without a region of
+the first kind, lines outside the content clusters that are nearly all links go as well. A class or id doesn't hide an
+element that holds most of the content lines and of the prose (reader comments: all prose).
 
 Defined results: null or empty html gives an empty text; white space (any that ``str.split`` knows) inside a block becomes
 one space; blocks are joined by one newline; unclosed and misnested tags are tolerated. Pages are independent: no shuffle,
@@ -30,6 +30,8 @@ from graphkiln.llm.common import free_name
 SIGMA = 1.0
 #: Share of the content lines' text that the region must hold.
 ENCLOSED = 0.95
+#: Share of it that articles must hold together to be the region.
+MARKED = 0.5
 #: Share of a line that is links from which it is no prose.
 LINKS = 0.8
 
@@ -43,6 +45,9 @@ ALWAYS = frozenset("ad ads adv advert adverts advertisement advertisements adver
 UNLESS_ARTICLE = frozenset("header masthead topbar toolbar widget widgets meta tags pagination pager".split())
 ARTICLE_WORDS = frozenset("article post entry story content".split())
 MAIN = frozenset(("article", "main"))
+COMMENTS = frozenset("respond disqus replies".split())
+#: How an element is hidden.
+SHOWN, BY_NAME, ALWAYS_HIDDEN = 0, 1, 2
 
 _WORD = re.compile(r"[a-z]+")
 _UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
@@ -60,8 +65,11 @@ class Lines(HTMLParser):
         #: For each line whether nearly all of it is links.
         self.links: list[bool] = []
         self.in_link, self.linked = False, 0
-        #: Open elements: (tag, number, hidden)
-        self.open: list[tuple[str, int, bool]] = []
+        #: For each line the elements around it that are hidden by class or id only; those of reader comments.
+        self.named: list[tuple[int, ...]] = []
+        self.comments: set[int] = set()
+        #: Open elements: (tag, number, hidden, elements around it hidden by name)
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.made, self.tags, self.text = 0, 0, []
         self.mains: set[int] = set()
 
@@ -69,28 +77,38 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             hidden = bool(self.open) and self.open[-1][2]
-            self.lines.append((text, self.tags, not hidden, tuple(n for _, n, _ in self.open)))
+            self.lines.append((text, self.tags, not hidden, tuple(n for _, n, _, _ in self.open)))
+            self.named.append(self.open[-1][3] if self.open else ())
             self.links.append(self.linked >= LINKS * len(text))
             self.tags = 0
         self.text, self.linked = [], 0
 
-    def hides(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def hides(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in SILENT or tag in ASIDE:
-            return True
-        inside = any(n in self.mains for _, n, _ in self.open)
+            return ALWAYS_HIDDEN
+        inside = any(n in self.mains for _, n, _, _ in self.open)
         if tag == "header":
-            return not inside
+            return SHOWN if inside else ALWAYS_HIDDEN
         found = dict(attrs)
         if "hidden" in found or (found.get("role") or "").lower() in ROLES:
-            return True
+            return ALWAYS_HIDDEN
         if _UNSEEN.search(found.get("style") or ""):
-            return True
+            return ALWAYS_HIDDEN
         if tag in ("html", "body", "main"):
-            return False
-        words = set(_WORD.findall(f"{found.get('class') or ''} {found.get('id') or ''}".lower()))
+            return SHOWN
+        named = f"{found.get('class') or ''} {found.get('id') or ''}".lower()
+        words, whole = set(_WORD.findall(named)), set(named.split())
+        if whole & ARTICLE_WORDS and not whole & ALWAYS:  # parts of other names, such as with-sidebar, say how it is set
+            return SHOWN
         if words & ALWAYS or any(w.startswith(("comment", "advert", "sponsor", "cookie")) and w != "commentary" for w in words):
-            return True
-        return bool(words & UNLESS_ARTICLE and not words & ARTICLE_WORDS and not inside)
+            return BY_NAME
+        return BY_NAME if words & UNLESS_ARTICLE and not words & ARTICLE_WORDS and not inside else SHOWN
+
+    @staticmethod
+    def of_comments(attrs: list[tuple[str, str | None]]) -> bool:
+        found = dict(attrs)
+        words = _WORD.findall(f"{found.get('class') or ''} {found.get('id') or ''}".lower())
+        return any(w in COMMENTS or (w.startswith("comment") and w != "commentary") for w in words)
 
     def close_to(self, k: int) -> None:
         self.flush()
@@ -108,11 +126,10 @@ class Lines(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        hidden = bool(self.open) and self.open[-1][2]
         hides = self.hides(tag, attrs)
         if tag not in BLOCKS:
             if hides:  # text of its own inside a block, which goes on after it
-                self.open.append((tag, self.made, True))
+                self.open.append((tag, self.made, True, ()))
             return
         while self.open and self.open[-1][0] not in BLOCKS and self.open[-1][0] not in SILENT:
             self.open.pop()
@@ -127,8 +144,14 @@ class Lines(HTMLParser):
                     break
         self.flush()
         self.made += 1
-        self.open.append((tag, self.made, hidden or hides))
-        if (tag in MAIN or dict(attrs).get("role") == "main") and not (hidden or hides):
+        named = self.open[-1][3] if self.open else ()
+        if hides == BY_NAME:
+            named = (*named, self.made)
+            if self.of_comments(attrs):
+                self.comments.add(self.made)
+        hidden = bool(self.open) and self.open[-1][2] or hides == ALWAYS_HIDDEN
+        self.open.append((tag, self.made, hidden, named))
+        if (tag in MAIN or dict(attrs).get("role") == "main") and not hidden:
             self.mains.add(self.made)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -176,6 +199,24 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
+def shown(parser: Lines, content: np.ndarray) -> list[bool]:
+    """For each line whether it may be main text: not below an element hidden by name, unless that holds the page's text."""
+
+    def held(rows: np.ndarray) -> tuple[dict[int, int], int]:
+        found: dict[int, int] = {}
+        total = 0
+        for (text, _, ok, _), named, c in zip(parser.lines, parser.named, rows, strict=True):
+            if ok and c:
+                total += len(text)
+                for n in named:
+                    found[n] = found.get(n, 0) + len(text)
+        return found, total
+
+    (dense, most), (every, whole) = held(content), held(~np.array(parser.links))
+    kept = {n for n, w in every.items() if (w == whole if n in parser.comments else 2 * w > whole and 2 * dense.get(n, 0) > most)}
+    return [ok and kept.issuperset(named) for (_, _, ok, _), named in zip(parser.lines, parser.named, strict=True)]
+
+
 def blocks(html: str | None) -> list[str]:
     """The blocks of a page's main text."""
     parser = Lines()
@@ -188,22 +229,29 @@ def blocks(html: str | None) -> list[str]:
     ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
     smoothed = smooth(ratios)
     content = smoothed >= threshold(smoothed)
-    weigh = [len(text) if ok and c else 0 for (text, _, ok, _), c in zip(lines, content, strict=True)]
+    seen = shown(parser, content)
+    weigh = [len(text) if ok and c else 0 for (text, _, _, _), ok, c in zip(lines, seen, content, strict=True)]
     if not any(weigh):
-        weigh = [len(text) if ok else 0 for text, _, ok, _ in lines]
+        weigh = [len(text) if ok else 0 for (text, _, _, _), ok in zip(lines, seen, strict=True)]
     held: dict[int, int] = {}
     for w, (_, _, _, around) in zip(weigh, lines, strict=True):
         if w:
             for n in around:
                 held[n] = held.get(n, 0) + w
-    mains = [n for n in parser.mains if held.get(n)]
-    if mains:
-        region = max(mains, key=lambda n: (held[n], n))
+    regions: set[int] = set()
+    for w, (_, _, _, around) in zip(weigh, lines, strict=True):
+        mains = [n for n in around if n in parser.mains] if w else []
+        if mains:  # the outermost, or the innermost of those that hold as much
+            regions.add(max(n for n in mains if held[n] == held[mains[0]]))
+    marked = bool(regions) and sum(held[n] for n in regions) >= MARKED * sum(weigh)
+    if marked:  # articles beside them that have no content line but prose are parts of the text too
+        for (_, _, _, around), ok, link in zip(lines, seen, parser.links, strict=True):
+            if ok and not link:
+                regions.update([n for n in around if n in parser.mains and n not in held][:1])
     else:
-        enough = [n for n, w in held.items() if w >= ENCLOSED * sum(weigh)]
-        region = max(enough, default=0)
-    kept = [k for k, (_, _, ok, around) in enumerate(lines) if ok and (not region or region in around)]
-    if not mains:  # without a marked article, lists of links between the blocks go too
+        regions = {max((n for n, w in held.items() if w >= ENCLOSED * sum(weigh)), default=0)}
+    kept = [k for k, (_, _, _, around) in enumerate(lines) if seen[k] and (0 in regions or not regions.isdisjoint(around))]
+    if not marked:  # without a marked article, lists of links between the blocks go too
         kept = [k for k in kept if content[k] or not parser.links[k]]
     return [lines[k][0] for k in kept]
 

@@ -115,3 +115,23 @@ def test_link_lists():
     page = f"<body><p>{words}</p><p>{words}</p><div><a>one</a> <a>two</a> <a>three</a></div><div><a>four</a> <a>five</a></div><p>Short end.</p><p>{words} <a>link</a></p></body>"
     assert html_text.blocks(page) == [words, words, "Short end.", f"{words} link"]
     assert html_text.blocks(page.replace("body>", "article>")) == [words, words, "one two three", "four five", "Short end.", f"{words} link"]
+
+
+def test_articles_of_a_part_of_the_page():
+    words = [f"paragraph {k} of running text that has as many words in it as the others of the page have" for k in range(12)]
+    text = lambda a, b: "".join(f"<p>{w}</p>" for w in words[a:b])
+    assert html_text.blocks(f"<body><div class=text>{text(0, 11)}</div><article>{text(11, 12)}</article></body>")[:11] == words[:11]
+    assert html_text.blocks(f"<body><article>{text(0, 8)}</article><article>{text(8, 12)}</article></body>") == words
+    assert html_text.blocks(f"<body><div>{text(0, 1)}</div><article>{text(1, 12)}</article></body>") == words[1:]
+
+
+def test_names_do_not_hide_the_text():
+    words = [f"paragraph {k} of running text that has as many words in it as the others of the page have" for k in range(6)]
+    text = lambda a, b: "".join(f"<p>{w}</p>" for w in words[a:b])
+    for around in ("div class='content with-sidebar'", "article class='post comments-open'", "section id='discussion'", "div class='page-sidebar-left'"):
+        tag = around.split()[0]
+        assert html_text.blocks(f"<body><nav>menu</nav><{around}>{text(0, 6)}<div id=comments><p>Nice!</p></div></{tag}></body>") == words, around
+    two = "".join(f"<article class='post comments-open'>{text(k, k + 2)}</article>" for k in (0, 2, 4))
+    assert html_text.blocks(f"<body>{two}</body>") == words
+    assert html_text.blocks(f"<body><article>{text(0, 2)}</article><div id=comments>{text(2, 6)}</div></body>") == words[:2]
+    assert html_text.blocks(f"<body><div>{text(0, 5)}</div><div class=sidebar>{text(5, 6)}</div></body>") == words[:5]
