@@ -1,8 +1,8 @@
 """Chat formatting by quotation linking.
 
-Each message's lines are parsed into nested quote levels (leading ``>`` marks). Quoted passages (runs of one level) and
-their lines are normalised (lower case, letters and digits only) and hashed, and joined to the earliest message of the
-conversation that has the passage or line as text of its own. A message replies to the message it quotes most directly
+Each message's lines are parsed into nested quote levels (leading ``>`` marks). Quoted passages (runs of one level), their
+paragraphs, lines and sentences are normalised (lower case, letters and digits only) and hashed, and joined to the earliest
+message of the conversation that has one of them as its text, paragraph, line or sentence. A message replies to the message it quotes most directly
 (lowest level, then latest); without a known quote, to the message before it. Quotes and the lines that introduce them are
 taken out. The conversation is then ordered by replies: a message, the messages that go on from it, then branches that
 come back to earlier messages, those from later messages first.
@@ -12,8 +12,8 @@ Everything is DataFrame operations. Conversations of any length stay spread: ear
 (``branch``, turn) instead of a list.
 
 Defined results: null text is empty text; a null conversation or turn gives no links (parent null, branch empty); rows of
-one conversation that share a turn are one message for linking; quotes with fewer than ``LEAST_WORDS`` words or without an
-earlier original link to nothing but are still taken out; an empty table gives no rows.
+one conversation that share a turn are one message for linking; quotes without letters and digits, without an earlier
+original, or of a part of a sentence only, link to nothing but are still taken out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from graphkiln.llm.common import let, materialize
 
 STRETCH = 256
-LEAST_WORDS = 3
 MARK = r"^(?:[ \t]*>)+"
+#: Between two sentences.
+STOP = r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+\s*"
 #: How mail programs introduce a quote in four languages.
 INTRODUCTION = r"(?i)^\s*(?:on|am|le|el)\b.*\b(?:wrote|schrieb|écrit|escribió)\b.*:\s*$"
 
@@ -51,22 +52,37 @@ def own_text(lines: Column) -> Column:
     return let(lines, kept)
 
 
-def quotes(lines: Column) -> Column:
-    """array<struct<level, text>>: the quoted lines and the runs of lines of one level, normalised."""
+def _runs(lines: Column) -> Column:
+    """array<struct<level, text>>: the runs of quoted lines of one level."""
     start = F.array().cast("array<struct<level:int,text:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["level"].alias("level"), F.concat_ws(" ", last["text"], x["text"]).alias("text"))))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["level"].alias("level"), F.concat_ws("\n", last["text"], x["text"]).alias("text"))))
         return F.when(F.coalesce(last["level"] == x["level"], F.lit(False)), joined).otherwise(F.concat(acc, F.array(x)))
 
-    runs = F.filter(F.aggregate(lines, start, step), lambda x: x["level"] > 0)
-    every = F.concat(runs, F.filter(lines, lambda x: x["level"] > 0))
+    return F.filter(F.aggregate(lines, start, step), lambda x: x["level"] > 0)
+
+
+def quotes(lines: Column) -> Column:
+    """array<struct<level, text>>: the quoted lines and the runs of lines of one level, normalised."""
+    every = F.concat(_runs(lines), F.filter(lines, lambda x: x["level"] > 0))
     return F.array_distinct(F.transform(every, lambda x: F.struct(x["level"].alias("level"), _normal(x["text"]).alias("text"))))
 
 
-def _long_enough(text: Column) -> Column:
-    return F.size(F.split(text, " ")) >= LEAST_WORDS
+def pieces(text: Column) -> Column:
+    """array<string>: a text, its paragraphs, lines and sentences (of lines and, if set in several lines, of paragraphs), normalised."""
+    paragraphs = F.split(text, r"\n\s*\n")
+    lines = F.split(text, r"\n")
+    sentences = F.flatten(F.transform(F.array_distinct(F.concat(paragraphs, lines)), lambda x: F.split(x, STOP)))
+    every = F.array_distinct(F.concat(F.array(text), paragraphs, lines, sentences))
+    return F.array_remove(F.array_distinct(F.transform(every, _normal)), "")
+
+
+def asked_for(lines: Column) -> Column:
+    """array<struct<level, text>>: the pieces of the runs of quoted lines of one level."""
+    piece = lambda x: F.transform(pieces(x["text"]), lambda text: F.struct(x["level"].alias("level"), text.alias("text")))
+    return F.array_distinct(F.flatten(F.transform(_runs(lines), piece)))
 
 
 def _order(nodes: DataFrame, parents: DataFrame) -> DataFrame:
@@ -104,14 +120,14 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     col = lambda c: F.col(f"`{c}`")
     parsed = messages.select(col(conv).alias("conv"), col(turn).cast("long").alias("turn"), col(role).alias("role"), parse(col(text)).alias("lines"))
     has = F.exists("lines", lambda x: x["level"] > 0)
-    parsed = parsed.select("conv", "turn", "role", own_text(F.col("lines")).alias("own"), F.when(has, quotes(F.col("lines"))).otherwise(F.array().cast("array<struct<level:int,text:string>>")).alias("quotes"))
+    where = lambda found, name: F.when(has, found(F.col("lines"))).otherwise(F.array().cast("array<struct<level:int,text:string>>")).alias(name)
+    parsed = parsed.select("conv", "turn", "role", own_text(F.col("lines")).alias("own"), where(quotes, "quotes"), where(asked_for, "asked"))
     parsed = materialize(parsed, "chat-parsed")
     known = parsed.filter("conv IS NOT NULL AND turn IS NOT NULL")
 
-    asked = known.select("conv", "turn", F.explode("quotes").alias("q")).filter(_long_enough(F.col("q.text")))
+    asked = known.select("conv", "turn", F.explode("asked").alias("q"))
     asked = materialize(asked.select("conv", "turn", "q.level", F.xxhash64("q.text").alias("passage")).distinct(), "chat-quotes")
-    lines = F.transform(F.array_distinct(F.concat(F.array("own"), F.split("own", "\n"))), _normal)
-    said = known.select("conv", "turn", F.explode(F.array_distinct(lines)).alias("line")).filter(_long_enough(F.col("line")))
+    said = known.select("conv", "turn", F.explode(pieces(F.col("own"))).alias("line"))
     said = said.select("conv", "turn", F.xxhash64("line").alias("passage"))
     said = said.join(asked.select("conv", "passage").distinct(), ["conv", "passage"], "left_semi")
     first = said.groupBy("conv", "passage").agg(F.min("turn").alias("said"))

@@ -135,3 +135,14 @@ def test_names_do_not_hide_the_text():
     assert html_text.blocks(f"<body>{two}</body>") == words
     assert html_text.blocks(f"<body><article>{text(0, 2)}</article><div id=comments>{text(2, 6)}</div></body>") == words[:2]
     assert html_text.blocks(f"<body><div>{text(0, 5)}</div><div class=sidebar>{text(5, 6)}</div></body>") == words[:5]
+
+
+def test_quotes_of_any_size(spark):
+    rows = [
+        (1, 0, "Sounds good."), (1, 1, "First of all this. The second sentence is here. And a third one."), (1, 2, "A paragraph that is\nset in two lines. It ends.\n\nAnother."), (1, 3, "Filler."),
+        (1, 4, "> Sounds good.\nto zero"), (1, 5, "> The second sentence\n> is here.\nto one"), (1, 6, "> A paragraph\n> that is set in\n> two lines. It ends.\nto two"),
+        (1, 7, "> The second sentence is here. And a third one.\nto one"), (1, 8, "> ...\nno words"), (1, 9, "> ok\nnever said"),
+    ]
+    out = {r.turn: r for r in chat.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert [(out[t].parent_turn, out[t].quoted) for t in range(4, 10)] == [(0, True), (1, True), (2, True), (1, True), (7, False), (8, False)]
+    assert [out[t].n_quotes for t in (4, 5, 8)] == [1, 3, 1]
