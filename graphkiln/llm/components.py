@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphkiln.llm.common import materialize
+from graphkiln.llm.common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialize(edges.distinct(), "edges")
     state = _state(edges)
     for _ in range(MAX_ROUNDS if state[0] else 0):
-        edges = materialize(_star(_star(edges, True), False), "stars")
+        old, edges = edges, materialize(_star(_star(edges, True), False), "stars")
+        discard(old)
         before, state = state, _state(edges)
         if state == before:
             break
