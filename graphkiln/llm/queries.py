@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,16 @@ SHARDS = [f"shard-{k:02d}" for k in range(16)]
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
+#: The session's setting that holds the key of the pseudonyms, and the public key that stands in, with a warning, where it is unset.
+PII_KEY, DEMONSTRATION_KEY = "spark.graphkiln.pii.key", "demonstration only"
+
+
+def pii_key(spark: SparkSession) -> str:
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        warnings.warn(f"{PII_KEY} is unset: pseudonyms are made with a public key and can be undone by anyone", stacklevel=2)
+    return key or DEMONSTRATION_KEY
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +48,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), report="replaced")
+    changed = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark), report="replaced")
     return changed.select("doc_id", "text", F.size("replaced").alias("n_replaced"), F.transform("replaced", lambda x: F.concat_ws(":", x["kind"], x["value"])).alias("replaced"))
 
 
@@ -64,7 +75,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return chat.conversations(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ number of shards, so it is broadcast; placing a row is one hash and one lookup.
 rows are never shuffled.
 
 Defined results: a null key is placed as the empty string; equal keys always land on the same shard; an empty table
-gives no rows. Extra columns pass through; columns named ``slot`` or ``shard`` are replaced.
+gives no rows. Extra columns pass through, whatever their names; columns named ``slot`` or ``shard`` are replaced, also where
+one of them is the key.
 """
 
 from __future__ import annotations
@@ -64,8 +65,10 @@ def lookup(spark: SparkSession, shards: list[str]) -> DataFrame:
 
 def assign(df: DataFrame, key: str, shards: list[str]) -> DataFrame:
     """``df`` plus each row's ``slot`` and ``shard``."""
-    keyed = df.drop("slot", "shard").withColumn("slot", slot(F.col(key), table_size(len(shards))))
-    return keyed.join(F.broadcast(lookup(df.sparkSession, shards)), "slot").select(*[c for c in keyed.columns if c != "slot"], "slot", "shard")
+    columns = [f"`{c}`" for c in df.columns if c not in ("slot", "shard")]
+    rows = df.select(F.struct(*columns).alias("_row") if columns else F.struct(F.lit(0)).alias("_row"), slot(F.col(f"`{key}`"), table_size(len(shards))).alias("_slot"))
+    placed = rows.join(F.broadcast(lookup(df.sparkSession, shards)), F.col("_slot") == F.col("slot"))
+    return placed.select(*[F.col(f"_row.{c}") for c in columns], "slot", "shard")
 
 
 def write(df: DataFrame, key: str, shards: list[str], path: str) -> None:

@@ -34,7 +34,7 @@ def test_stages(spark):
     clean = corpus_pipeline.personal_data(spark, docs, SMALL)
     assert clean.columns == given.columns
     texts = {r.doc_id: r.text for r in clean.collect()}
-    assert texts == {r.doc_id: r.text for r in pii.pseudonymise(docs).collect()}
+    assert texts == {r.doc_id: r.text for r in pii.pseudonymise(docs, queries.pii_key(spark)).collect()}
 
     mixed = corpus_pipeline.source_weights(spark, clean, SMALL).collect()
     copies = {r.doc_id: r._copies for r in mixing.copies(clean, "doc_id", "text", "source", [5, 2, 1]).select("_row.doc_id", "_copies").collect()}

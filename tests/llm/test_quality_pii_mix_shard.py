@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import hashlib
+import random
 import re
+import string
 from collections import Counter
+from datetime import date, timedelta
 
+import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from graphkiln.llm import mixing, pii, quality, sharding
@@ -47,13 +53,170 @@ def luhn_ok(s):
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
 
 
-def changed(spark, texts, **kw):
+def changed(spark, texts, key="k1"):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in pii.pseudonymise(df, **kw).orderBy("doc_id").collect()]
+    return [r.text for r in pii.pseudonymise(df, key).orderBy("doc_id").collect()]
+
+
+def sha(*parts):
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def to_base(v, base, n):
+    out = ""
+    for _ in range(n):
+        v, d = divmod(v, base)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+    return out
+
+
+def brute_string(text, base, tweak, key):
+    halves = [text[: len(text) // 2], text[len(text) // 2 :]]
+    for r in range(pii.ROUNDS):
+        x, other = halves[r % 2], halves[1 - r % 2]
+        seed, out = sha(key, tweak, r, other), ""
+        for i in range(0, len(x), pii.WORD):
+            w = x[i : i + pii.WORD]
+            out += to_base((int(w, base) + int(sha(seed, i // pii.WORD)[:15], 16)) % base ** len(w), base, len(w))
+        halves[r % 2] = out
+    return "".join(halves)
+
+
+def brute_rank(l, x, a, b, tweak, key):
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            l = (l + int(sha(key, tweak, r, x)[:15], 16)) % a
+        else:
+            x = (x + int(sha(key, tweak, r, l)[:15], 16)) % b
+    return l, x
+
+
+def luhn_digit(payload):
+    d = [int(c) for c in payload][::-1]
+    return str(-(sum(x * 2 - 9 * (x > 4) for x in d[::2]) + sum(d[1::2])) % 10)
+
+
+def filled(text, chars, new):
+    new = iter(new)
+    return "".join(next(new) if c in chars else c for c in text)
+
+
+def brute_pseudonym(kind, m, key):
+    """What a value of a kind becomes, written from the docstring; None if it isn't valid."""
+    digits, d = "0123456789", re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        l, r = brute_rank(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip:0", key)
+        return f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return None
+        l, r = brute_rank((area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn:0", key)
+        area = l // 99 + 1
+        return f"{area + (area >= 666):03d}-{l % 99 + 1:02d}-{r + 1:04d}"
+    if kind == "date":
+        parts, marks = re.split(r"[/.\-]", m), re.findall("[^0-9]", m)
+        for form in ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy"):
+            at = dict(zip(form, map(int, parts), strict=True))
+            try:
+                day = (date(at["y"], at["m"], at["d"]) - date(1800, 1, 1)).days
+            except ValueError:
+                continue
+            if not 0 <= day < pii.DATES:
+                continue
+            l, r = brute_rank(day // 773, day % 773, pii.DATES // 773, 773, "date:0", key)
+            new = date(1800, 1, 1) + timedelta(l * 773 + r)
+            short = any(len(p) == 1 for p in parts)
+            out = {"y": str(new.year), "m": f"{new.month:{'' if short else '02'}d}", "d": f"{new.day:{'' if short else '02'}d}"}
+            return out[form[0]] + marks[0] + out[form[1]] + marks[1] + out[form[2]]
+        return None
+    if kind == "number":
+        known = len(d) == 16 or (d[0] == "3" if len(d) in (14, 15) else d[0] in "456")
+        if not known or luhn_digit(d[:-1]) != d[-1]:
+            return None
+        new = brute_string(d[:-1], 10, f"number:{len(d) - 1}", key)
+        return filled(m, digits, new + luhn_digit(new))
+    if kind == "iban":
+        solid = m.replace(" ", "")
+        rest = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+        if rest(solid) != 1:
+            return None
+        account = re.sub("[^0-9]", "", solid[4:])
+        new = filled(solid[4:], digits, brute_string(account, 10, f"iban:{len(account)}:{solid[:2]}{re.sub('[^A-Z]', '', solid[4:])}", key))
+        return filled(m, digits + string.ascii_uppercase, f"{solid[:2]}{98 - rest(solid[:2] + '00' + new):02d}{new}")
+    if kind == "secret":
+        new = brute_string(m.lower(), 16, f"secret:{len(m)}", key)
+        return new.upper() if m == m.upper() else new
+    if kind == "email":
+        local, domain = m.lower().split("@")
+        code = re.sub("[^a-z0-9]", "", local)
+        tweak = f"email:{len(code)}:{re.sub('[ -~]', '', local)}"
+        seed = sha(key, "letters", local)
+        local = filled(local, digits + string.ascii_lowercase, brute_string(code, 36, tweak, key))
+        return "".join(c if c < "\x80" else chr(97 + int(sha(seed, i)[:8], 16) % 26) for i, c in enumerate(local)) + "@" + domain
+    return m
+
+
+#: The search pattern with named groups, and a name for the one that is referred to.
+PII = regex.compile("|".join(f"(?P<{k}>{p})" if k != "number" else "(?P<number>" + p.replace(r"([ \-])", r"(?P<gap>[ \-])").replace(r"\1", "(?P=gap)") + ")" for k, p in pii.PATTERNS.items()))
+
+
+def brute_text(text, key):
+    """All kinds but telephone numbers, whose ends depend on the country; they must keep their form."""
+    if text is None:
+        return None
+    return PII.sub(lambda m: re.sub("[0-9]", "#", m[0]) if m["phone"] else brute_pseudonym(next(k for k in pii.PATTERNS if m[k]), m[0], key) or m[0], text)
+
+
+def without_phones(text, given):
+    """``text`` with the digits of what was a telephone number in ``given`` masked."""
+    if text is None:
+        return None
+    masked = list(text)
+    shift = 0
+    for m in PII.finditer(given):
+        kind = next(k for k in pii.PATTERNS if m[k])
+        if kind == "phone":
+            for i in range(m.start() + shift, m.end() + shift):
+                masked[i] = "#" if masked[i].isdigit() else masked[i]
+        else:
+            shift += len(brute_pseudonym(kind, m[0], "k1") or m[0]) - len(m[0])
+    return "".join(masked)
+
+
+def test_pii_against_brute_force(spark):
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    texts += ["a 3/7/2021 b 2021-12-31 c 31.02.2021 d 1/13/1999", "078-05-1120 666-12-1234 899-99-9999", "AT611904300234573201 EUR and ES91 2100 0418 4502 0005 1332 BIC", "GB82 WEST 1234 5698 7654 32 or GB82WEST12345698765433", "4111-1111-1111-1111 3782 822463 10005 1700000000000", "Ann.Lee+x@Mail.example.com, enßpf.55@a-b.example.com and x@y", "K=" + "0123456789ABCDEF" * 9, "10.0.0.1 1.2.3.4.5 999.1.1.1", "d" * 11 + "1" * 11 + "@x.de"]
+    out = changed(spark, texts)
+    assert sum(a != b for a, b in zip(texts, out, strict=True)) > 50
+    for a, b in zip(texts, out, strict=True):
+        assert without_phones(b, a) == brute_text(a, "k1")
+
+
+def test_pii_cases_that_leaked(spark):
+    texts = ["x@a" + ".a" * 3000, "AT611904300234573201 EUR 50", "ES9121000418450200051332 BIC XX", "AT61 1904 3002 3457 3201 EUR 50", "0123456789ab" * 11, "a" * 200 + "@b.org", "212-555-0199"]
+    out = changed(spark, texts)
+    assert not any(a == b for a, b in zip(texts, out, strict=True)) and list(map(len, out)) == list(map(len, texts))
+    assert out[1].endswith(" EUR 50") and out[2].endswith(" BIC XX") and out[1][:20] == out[3].replace(" ", "")[:20]
+    assert not any(c in out[4] for c in ("0123456789ab" * 2, "ab" * 12))
+    stay = ["at 1700000000000 ms", "order 123456789012", "9807915762804490", "123-456-7890", "XX611904300234573201", "1" * 200, "ab" * 200, "20240115103000"]
+    assert changed(spark, stay) == stay
+
+
+def test_pii_very_long_values(spark):
+    texts = ["a" * 1_000_000 + "@b.org", "x@" + "a." * 500_000 + "de", "0123456789abcdef" * 62_500, "1" * 1_000_000, "1-" * 500_000, "4111 " * 200_000, "é" * 300_000 + "@x.org"]
+    out = changed(spark, texts)
+    assert list(map(len, out)) == list(map(len, texts)) and [a == b for a, b in zip(texts, out, strict=True)] == [False, False, False, True, True, True, False]
+
+
+def test_pii_needs_a_key(spark):
+    with pytest.raises(ValueError, match="key"):
+        changed(spark, ["x"], key="")
 
 
 def test_pii_formats(spark):
-    texts = ["pay 4111 1111 1111 1111 or 4111111111111111.", "9807915762804490", "tel +1 (017) 555-7713", "10.20.30.40", "ssn 078-05-1120", "born 1984-02-29, 25/12/1999", "DE89 3704 0044 0532 0130 00", "Ann.Lee+x@Mail.example.com", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "enßpf.55@mail4.example.com"]
+    texts = ["pay 4111 1111 1111 1111 or 4111111111111111.", "4845168114407329", "tel +1 (017) 555-7713", "10.20.30.40", "ssn 078-05-1120", "born 1984-02-29, 25/12/1999", "DE89 3704 0044 0532 0130 00", "Ann.Lee+x@Mail.example.com", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "enßpf.55@mail4.example.com"]
     out = changed(spark, texts)
     assert not any(a == b for a, b in zip(texts, out, strict=True))
     a, b = re.search(r"pay (\d{4} \d{4} \d{4} \d{4}) or (\d{16})\.$", out[0]).groups()
@@ -87,9 +250,9 @@ def test_pii_leaves_the_rest(spark):
     texts = [None, "", "plain text", "version 3. CC BY-NC 4.0", "2023-02-30", "DE00370400440532013000", "call 12345", "a" * 50_000, "1.2.3.4.5", "x @ y"]
     assert changed(spark, texts) == texts
     df = spark.createDataFrame([(1, "a@b.org", "k")], "doc_id long, text string, _found string")
-    assert [(r.doc_id, r._found) for r in pii.pseudonymise(df).collect()] == [(1, "k")]
+    assert [(r.doc_id, r._found) for r in pii.pseudonymise(df, "k1").collect()] == [(1, "k")]
     df = df.limit(0)
-    assert pii.pseudonymise(df.select("doc_id", "text"), report="r").columns == ["doc_id", "text", "r"]
+    assert pii.pseudonymise(df.select("doc_id", "text"), "k1", report="r").columns == ["doc_id", "text", "r"]
 
 
 def iban(country, account):
@@ -99,8 +262,8 @@ def iban(country, account):
 
 def test_pii_long_ibans(spark):
     french, italian = "20041010050500013M02606", "X0542811101000000123456"
-    accounts = [french, *[french[:-3] + f"{k:03d}" for k in range(300)], "2" + french[1:-1] + "7", italian, "1" * 30]
-    given = [iban("FR", a) for a in accounts]
+    accounts = [french, *[french[:-3] + f"{k:03d}" for k in range(300)], "2" + french[1:-1] + "7", italian]
+    given = [*(iban("FR", a) for a in accounts), iban("RU", "1" * 29)]
     assert given[0] == "FR1420041010050500013M02606"
     out = changed(spark, given)
     assert len(set(out)) == len(set(given))
@@ -168,6 +331,18 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_many_sources(spark):
+    choose = random.Random(2)
+    rows = [(k, "w " * choose.randrange(1, 60), f"s{choose.randrange(200)}") for k in range(1500)]
+    size = Counter()
+    for _, text, source in rows:
+        size[source] += len(text.split())
+    names = sorted(size)
+    want = dict(zip(names, water([size[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 3), strict=True))
+    out = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", [5, 2, 1]).select("_row.source", "target").collect()
+    assert all(r.target == pytest.approx(want[r.source]) for r in out) and len(out) == 1500
+
+
 def test_sharding(spark):
     names = [f"n{k}" for k in range(7)]
     table = sharding.fill(names)
@@ -175,6 +350,11 @@ def test_sharding(spark):
     fewer = sharding.fill(names[:-1], len(table))
     moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a < 6)
     assert moved < 0.2 * len(table)
+    odd = spark.createDataFrame([(str(k), k) for k in range(30)], "slot string, `a.b` long")
+    placed = sharding.assign(odd, "slot", names)
+    assert placed.columns == ["a.b", "slot", "shard"] and placed.count() == 30
+    assert [r.shard for r in placed.orderBy("`a.b`").collect()] == [r.shard for r in sharding.assign(odd.withColumnRenamed("slot", "k"), "k", names).orderBy("`a.b`").collect()]
+    assert sharding.assign(odd, "a.b", names).columns == ["a.b", "slot", "shard"]
     df = spark.createDataFrame([(k % 50, "x") for k in range(200)] + [(None, "y")], "doc_id long, slot string")
     out = sharding.assign(df, "doc_id", names).collect()
     assert len(out) == 201 and {r.shard for r in out} <= set(names)
