@@ -11,7 +11,7 @@ its bytes with the tasks, so executors need no file. Each match of the split pat
 
 Defined results: a null text is an empty text with no tokens; ids are unsigned 32-bit little-endian; unknown ids raise.
 Rows are independent: no shuffle, and memory is bounded by the caches (``CACHE`` pieces and prefixes each, twice) and one
-stretch of ``STRETCH`` characters of a text, besides the ids of one text.
+stretch of ``STRETCH`` characters of a text (with other patterns than ``CUT_PATTERN`` one text), besides the ids of one text.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ STRETCH = 1 << 18
 #: Pieces up to so many bytes are memoised by prefix; longer ones get a table of their own.
 SHORT = 48
 NEVER = 1 << 40
+#: Fixed value: the split pattern for which a blank after a non-blank is always between two pieces; by others, texts aren't cut.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])[ \n]")
 
 
@@ -184,6 +186,7 @@ class Codec:
         assert sys.byteorder == "little" and array("I").itemsize == 4
         self.vocabulary = Vocabulary(raw)
         self.split = regex.compile(pattern).findall
+        self.cuts = pattern == CUT_PATTERN
         self.prefixes: dict[bytes, int] = {}
         self.pieces = _Pieces(self)
 
@@ -224,9 +227,9 @@ class Codec:
         return out[::-1]
 
     def stretches(self, text: str) -> Iterator[str]:
-        """The text in stretches, cut only where a blank follows a non-blank, which is always between two pieces."""
+        """The text in stretches, cut only where a blank follows a non-blank, if by the pattern that is always between two pieces."""
         start = 0
-        while len(text) - start > STRETCH:
+        while self.cuts and len(text) - start > STRETCH:
             cut = _CUT.search(text, start + STRETCH)
             if not cut:
                 break
