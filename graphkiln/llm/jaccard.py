@@ -17,8 +17,9 @@ groups: by a join for short lists, by blocks for long ones. No link between grou
 more pairs are needed.
 
 Defined results: null and blank texts have no n-grams, n_shingles 0, and are groups of their own; texts with fewer words
-than n are one n-gram, their whole sequence; rows that share an id are one node; repeated rows are copies; empty tables
-give no rows. Words are split at ASCII white space and only A to Z are lower-cased. A null id has a null group.
+than n are one n-gram, their whole sequence; rows that share an id are one node, whatever their texts; repeated rows are
+copies; empty tables give no rows. Words are split at ASCII white space and only A to Z are lower-cased. A null id has a null
+group and links nothing. Extra columns are ignored by ``groups`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphkiln.functions.ship import ship
-from graphkiln.llm.common import bounded_broadcast, discard, filter_after, let, materialize, words
+from graphkiln.llm.common import attach, bounded_broadcast, discard, filter_after, free_name, let, materialize, tidy, words, written
 from graphkiln.llm.components import components
 
 #: LOW's share of the hash range, as a multiple of the prefix's share of a set.
@@ -40,8 +41,8 @@ LOW = 1.5
 FREQUENT = 40
 #: Seeds of the orders by which the lists' pivots are chosen, by round.
 PIVOTS = (range(3), range(3, 10))
-#: Lists of more documents than this are compared by blocks of so many documents.
-LARGE, BLOCK = 64, 1024
+#: Lists of more documents than this are compared by blocks of about so many documents and n-grams at most.
+LARGE, BLOCK, BLOCK_GRAMS = 64, 1024, 1 << 21
 
 
 def ngrams(text: Column, size: int) -> Column:
@@ -83,7 +84,7 @@ def _verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.join(side("a", ("second", "third")), "a").join(side("b", ("second", "third")), "b")
     pairs = materialize(pairs.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"), "jaccard-pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-paired")
-    known = known.join(bounded_broadcast(ids, ids.count()), "doc", "left_semi")
+    known = known.join(bounded_broadcast(ids), "doc", "left_semi")
     both = pairs.join(side("a", ("n", "set")), "a").join(side("b", ("n", "set")), "b")
     both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("s"))
     return both.filter(F.col("s") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("s")) * percent).select("a", "b")
@@ -98,7 +99,7 @@ def _lists(ordered: DataFrame) -> DataFrame:
     stretch = materialize(ordered.select("doc", "n", "need", F.slice("order", 1, 2 * F.col("need") + 8).alias("order")), "jaccard-stretch")
     stretch = stretch.select("doc", "n", "need", F.posexplode("order").alias("at", "t"))
     busy = materialize(stretch.groupBy("t").count().filter(F.col("count") > FREQUENT).select("t", F.lit(True).alias("busy")), "jaccard-busy")
-    busy = bounded_broadcast(busy, busy.count())
+    busy = bounded_broadcast(busy)
 
     def first(tokens: DataFrame) -> DataFrame:
         marked = tokens.join(busy, "t", "left").select("doc", "n", "need", F.struct(F.coalesce("busy", F.lit(False)).alias("busy"), "at", "t").alias("x"))
@@ -129,8 +130,8 @@ def _open(listed: DataFrame, links: DataFrame) -> DataFrame:
 
 def _across(marked: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the groups of lists that are not of one group yet. marked: t, doc, n, of."""
-    sizes = materialize(marked.groupBy("t").agg(F.count("*").alias("m")).filter(F.col("m") > LARGE), "jaccard-large")
-    sizes = bounded_broadcast(sizes, sizes.count())
+    sizes = materialize(marked.groupBy("t").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter(F.col("m") > LARGE), "jaccard-large")
+    sizes = bounded_broadcast(sizes)
     small = marked.join(sizes, "t", "left_anti")
     other = small.select("t", F.col("doc").alias("doc_2"), F.col("n").alias("n_2"), F.col("of").alias("of_2"))
     pairs = small.join(other, (small["t"] == other["t"]) & (F.col("of") < F.col("of_2")) & _alike(F.col("n"), F.col("n_2"), percent))
@@ -141,12 +142,13 @@ def _across(marked: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def _blocks(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within large lists: blocks of their documents against blocks, each pair in the first list it shares.
 
-    rows: t, doc, n, of, m (the list's size). A task holds two blocks of about ``BLOCK`` documents, and only links leave it.
+    rows: t, doc, n, of, m and grams (the list's documents and their n-grams). A task holds two blocks of about ``BLOCK``
+    documents or ``BLOCK_GRAMS`` n-grams (or one longer document), and only links leave it.
     """
     ship(rows.sparkSession)
     firsts = rows.groupBy("doc").agg(F.sort_array(F.collect_list("t")).alias("lists"))
     rows = rows.join(firsts, "doc").join(known.select("doc", "set"), "doc")
-    count = F.ceil(F.col("m") / BLOCK).cast("int")
+    count = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int")
     rows = rows.select("t", "doc", "of", "set", F.filter("lists", lambda x: x < F.col("t")).alias("before"), F.pmod(F.xxhash64("doc"), count).cast("int").alias("block"), F.sequence(F.lit(0), count - 1).alias("blocks"))
     rows = rows.select("*", F.explode("blocks").alias("other")).select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "of", "set", "before")
 
@@ -192,6 +194,7 @@ def overlaps(sets: pd.Series) -> np.ndarray:
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) for every row: groups of documents linked by a Jaccard similarity of at least ``percent``."""
+    mark = written()
     share = min(1.0, LOW * (1 - percent / 100))
     low = -(1 << 63) + int(share * (1 << 64)) if share < 1 else (1 << 63) - 1
     made = sets(docs, key, text, size)
@@ -199,10 +202,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     lows = materialize(made.select("doc", F.size("set").alias("n"), digest.alias("sig"), F.filter("set", lambda h: h < low).alias("low")), "jaccard-low")
     signed = materialize(lows.select("doc", "n", "sig"), "jaccard-signed")
 
-    first = materialize(signed.filter("n > 0").groupBy("sig").agg(F.min("doc").alias("rep")), "jaccard-copies")
-    copies = signed.filter("n > 0").select("doc", "sig").join(first, "sig").filter("doc <> rep").select("doc", "sig")
-    copies = materialize(copies, "jaccard-dropped")
-    single = lows.filter("n > 0 AND doc IS NOT NULL").join(bounded_broadcast(copies, copies.count()), ["doc", "sig"], "left_anti").drop("sig")
+    known = signed.filter("n > 0 AND doc IS NOT NULL")
+    first = materialize(known.groupBy("sig").agg(F.min("doc").alias("rep"), F.count("*").alias("m")), "jaccard-copies")
+    copied = attach(known.select("doc", "sig"), first.filter("m > 1"), "sig", "m", "jaccard-copied")
+    copies = materialize(copied.filter("doc <> rep").select("doc", "sig", "rep"), "jaccard-dropped")
+    # An id with several texts is one node: its texts' representatives are linked by it.
+    several = known.select("doc", "sig").distinct().groupBy("doc").agg(F.count("*").alias("k")).filter("k > 1").select("doc")
+    shared_ids = copies.join(materialize(several, "jaccard-several"), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
+    single = lows.filter("n > 0 AND doc IS NOT NULL").join(bounded_broadcast(copies.select("doc", "sig")), ["doc", "sig"], "left_anti").drop("sig")
 
     tokens = single.select("doc", F.explode("low").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
@@ -216,8 +223,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     # The whole sets are made again from the texts, for the documents that are left only.
     ids = left.select("doc").distinct()
-    again = docs.select(key, text).join(bounded_broadcast(ids, left.count()).withColumnRenamed("doc", key), key, "left_semi")
-    whole = filter_after(sets(again, key, text, size), F.size("set") > 0).withColumn("n", F.size("set"))
+    again = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).join(bounded_broadcast(ids), "doc", "left_semi")
+    whole = filter_after(sets(again, "doc", "text", size), F.size("set") > 0).withColumn("n", F.size("set"))
     whole = materialize(whole.select("doc", "n", "set", _prefix(F.col("set"), 2, p).alias("second"), _prefix(F.col("set"), 3, p).alias("third")), "jaccard-sets")
     calm = F.transform(F.filter("shared", lambda x: ~x["hot"]), lambda x: x["t"])
     busy = F.transform(F.filter("shared", lambda x: x["hot"]), lambda x: x["t"])
@@ -231,23 +238,44 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         links = materialize(links.unionByName(_verify(_to_pivots(marked, seeds, percent), whole, percent)).distinct(), "jaccard-links")
         marked = materialize(_open(listed, links), "jaccard-open")
     more = materialize(_across(marked, whole, percent), "jaccard-more")
-    grouped = components(links.unionByName(more)).withColumnRenamed("id", "rep")
+    grouped = components(links.unionByName(more).unionByName(shared_ids)).withColumnRenamed("id", "rep")
+    grouped = materialize(grouped, "jaccard-components")
+    linked = first.join(grouped, "rep", "left")
+    linked = materialize(linked.select("sig", "m", F.coalesce("component", "rep").alias("component")), "jaccard-linked")
+    tidy(mark, signed, linked)
 
-    out = signed.select("doc", "n", "sig").join(first, "sig", "left").withColumn("rep", F.coalesce("rep", "doc"))
-    out = out.join(grouped, "rep", "left")
-    return out.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    out = attach(known.select("doc", "n", "sig"), linked, "sig", "m", "jaccard-out").select("doc", "n", "component")
+    blank = signed.filter("n = 0 AND doc IS NOT NULL")
+    other = known.join(bounded_broadcast(blank.select("doc")), "doc", "left_semi").join(linked, "sig").groupBy("doc").agg(F.min("component").alias("component"))
+    blank = blank.join(other, "doc", "left")
+    out = out.unionByName(blank.select("doc", "n", F.coalesce("component", "doc").alias("component")))
+    out = out.unionByName(signed.filter("doc IS NULL").select("doc", "n", F.col("doc").alias("component")))
+    return out.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: the rows whose id is their group's (rows with a null id stay); repeated ids are kept once."""
-    found = materialize(groups(docs, key, text, size, percent), "jaccard-found")
-    gone = materialize(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "jaccard-gone")
+    """One document of each group of linked texts: the one with the smallest id; rows with a null id stay.
+
+    Where ids are repeated, rows are told apart by numbers of their own, so that no text goes without one like it that stays.
+    """
+    mark = written()
     columns = [f"`{c}`" for c in docs.columns]
-    kept = docs.join(bounded_broadcast(gone, gone.count()), key, "left_anti").select(*columns)
-    again = materialize(found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key), "jaccard-repeated")
-    n_again = again.count()
-    if not n_again:
-        return kept
-    again = bounded_broadcast(again, n_again)
-    once, more = kept.join(again, key, "left_anti"), kept.join(again, key, "left_semi")
-    return once.select(*columns).unionByName(more.dropDuplicates([key]).select(*columns))
+    own = F.col(f"`{key}`")
+    again = docs.filter(own.isNotNull()).groupBy(own.alias("doc")).count().filter("count > 1").limit(1).count()
+    if not again:
+        found = groups(docs, key, text, size, percent)
+        gone = materialize(found.filter(own != F.col("component_id")).select(own.alias("_gone")), "jaccard-gone")
+        tidy(mark, gone)
+        return docs.join(bounded_broadcast(gone), docs[f"`{key}`"] == gone["_gone"], "left_anti").select(*columns)
+    number = free_name(docs, "_number")
+    numbered = materialize(docs.select("*", F.monotonically_increasing_id().alias(number)), "jaccard-numbered")
+    found = groups(numbered.filter(own.isNotNull()).select(number, own.alias("own"), F.col(f"`{text}`").alias("text")), number, "text", size, percent)
+    ids = numbered.select(number, own.alias("own"))
+    least = found.join(ids, number).groupBy("component_id").agg(F.min(F.struct("own", number)).alias("kept"))
+    least = least.select(f"kept.{number}")
+    # Blank texts, which are linked to none, are one document an id.
+    blank = found.filter("n_shingles = 0").join(ids, number).groupBy("own").agg(F.min(number).alias(number)).select(number)
+    least = materialize(least.join(found.filter("n_shingles > 0").select(number), number, "left_semi").unionByName(blank), "jaccard-kept")
+    tidy(mark, numbered, least)
+    kept = numbered.filter(own.isNotNull()).join(bounded_broadcast(least), number, "left_semi")
+    return kept.unionByName(numbered.filter(own.isNull())).select(*columns)

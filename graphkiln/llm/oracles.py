@@ -92,9 +92,10 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(node) AS component_id FRO
 
 def embedding_groups(cosine: float = 0.95) -> str:
     return f"""
-WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {cosine}),
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, e FROM (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+l AS (SELECT a.rid AS rid, a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.rid <> b.rid WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {cosine}),
 r(id, node) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.node = l.a),
-c AS (SELECT id, min(node) AS component_id FROM r GROUP BY id), n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
-SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.id = v.vec_id"""
+c AS (SELECT id, min(node) AS component_id FROM r GROUP BY id), n AS (SELECT rid, count(*) AS n FROM l GROUP BY rid)
+SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, coalesce(x.vec_id = c.component_id, true) AS kept
+FROM embeddings x JOIN v ON v.vec_id IS NOT DISTINCT FROM x.vec_id AND v.e IS NOT DISTINCT FROM x.embedding::DOUBLE[] LEFT JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.rid = v.rid"""
