@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphkiln.llm import bpe, jaccard, mixing, pii, quality
 from graphkiln.llm.common import materialize
+from graphkiln.llm.queries import pii_key
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -27,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows the text."""
-    changed = pii.pseudonymise(docs)
+    changed = pii.pseudonymise(docs, pii_key(spark))
     return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
 
 
