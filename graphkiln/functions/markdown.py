@@ -143,7 +143,7 @@ def html_title(html: str | None) -> str:
 
 
 #: Abbreviations that end in a full stop without ending a sentence.
-ABBREVIATIONS = frozenset("ts. ths. gs. pgs. tp. dr. mr. mrs. ms. prof. st. no. vs. etc. e.g. i.e. z.b. bzw. sr. sra.".split())
+ABBREVIATIONS = frozenset("ts. ths. pgs. gs. tp. qđ. đh. vd. stt. v.v. dr. mr. mrs. ms. prof. st. no. vs. etc. e.g. i.e. z.b. bzw. sr. sra.".split())
 _END = re.compile(r"[.!?;。！？]+(?=\s+[\w\-*+\"'(\[])")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 

@@ -165,3 +165,10 @@ def name_key(name: Column) -> Column:
 
 def name_tokens(name: Column) -> Column:
     return F.filter(F.regexp_extract_all(name_key(name), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda x: F.length(x) > 1)
+
+
+def uuid5(name: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
+    """The version 5 UUID of a name (RFC 9562); ``namespace``: 32 hexadecimal digits, by default that of addresses."""
+    d = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.coalesce(name, F.lit("")).cast("binary")))
+    variant = F.lower(F.hex((F.conv(F.substring(d, 17, 1), 16, 10).cast("int").bitwiseAND(3)) + 8))
+    return F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.concat(F.lit("5"), F.substring(d, 14, 3)), F.concat(variant, F.substring(d, 18, 3)), F.substring(d, 21, 12))

@@ -147,12 +147,17 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     def ratio(x, y):
         if not x or not y:
             return 0.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            before = 0
-            for j, e in enumerate(y, 1):
-                before, row[j] = row[j], before + 1 if c == e else max(row[j], row[j - 1])
-        return round(100 * 2 * row[-1] / (len(x) + len(y))) / 100
+        # A bit for each character of x: cleared where a longer common subsequence begins to end there.
+        where: dict[str, int] = {}
+        for k, c in enumerate(x):
+            where[c] = where.get(c, 0) | 1 << k
+        every = (1 << len(x)) - 1
+        row = every
+        for c in y:
+            met = row & where.get(c, 0)
+            row = ((row + met) | (row - met)) & every
+        common = len(x) - row.bit_count()
+        return round(100 * 2 * common / (len(x) + len(y))) / 100
 
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

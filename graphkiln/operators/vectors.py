@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphkiln.functions.cut import cut
+from graphkiln.functions.ship import ship
+
+
+#: Rows of a tile's side.
+TILE = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,25 +44,66 @@ def hash_embedding(df: DataFrame, key: str, text: str, dim: int = 128) -> DataFr
     return df.select(key).join(made, key, "left").select(key, F.coalesce("vector", zeros).alias("vector"))
 
 
+def _tiles(left: DataFrame, right: DataFrame, found) -> DataFrame:
+    """(block, a, b, score) from ``found(scores)`` over tiles of at most about ``TILE`` x ``TILE`` rows. left, right: block, id, v.
+
+    A block of any size is cut into tiles by hashes of its ids, so a task holds two stretches of rows, multiplies them as matrices and
+    gives off only what ``found(scores, a, b)``, a boolean matrix, keeps. Rows without a usable vector are left out.
+    """
+    ship(left.sparkSession)
+    parts = lambda df, n: df.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias(n))
+    counts = cut(parts(left, "n").join(parts(right, "m"), "block"))
+
+    def spread(df: DataFrame, side: str, own: str, other: str) -> DataFrame:
+        rows = df.join(counts, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        i, j = ("own", "other") if side == "a" else ("other", "own")
+        return rows.select("block", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "id", "v")
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        x = np.stack([np.asarray(v, "float64") for v in vectors])
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = (pdf[pdf["side"] == s].sort_values("id", ignore_index=True) for s in "ab")
+        if not len(one) or not len(two):
+            return pd.DataFrame({"block": pdf["block"].iloc[:0], "a": pdf["id"].iloc[:0], "b": pdf["id"].iloc[:0], "score": np.zeros(0)})
+        scores = np.clip(unit(one["v"]) @ unit(two["v"]).T, -1, 1).round(14)
+        x, y = np.nonzero(found(scores, one["id"].to_numpy(), two["id"].to_numpy()))
+        return pd.DataFrame({"block": pdf["block"].iat[0], "a": one["id"].to_numpy()[x], "b": two["id"].to_numpy()[y], "score": scores[x, y]})
+
+    kinds = dict(left.dtypes)
+    both = spread(left, "a", "n", "m").unionByName(spread(right, "b", "m", "n"))
+    return both.groupBy("block", "i", "j").applyInPandas(compare, f"block {kinds['block']}, a {kinds['id']}, b {kinds['id']}, score double")
+
+
+def _usable(df: DataFrame, block: Column, key: str, vector: str) -> DataFrame:
+    rows = df.select(block.alias("block"), F.col(key).alias("id"), F.col(vector).alias("v"))
+    return rows.filter(F.col("block").isNotNull() & F.col("v").isNotNull() & (norm(F.col("v")) > 0))
+
+
 def threshold_pairs(df: DataFrame, key: str, vector: str, block: str, threshold: float) -> DataFrame:
-    """(block, a, b, sim) of pairs a < b within a block with cosine >= threshold; norms are computed once a row."""
-    rows = df.select(F.col(block).alias("block"), F.col(key).alias("a"), F.col(vector).alias("va"), norm(F.col(vector)).alias("na"))
-    other = rows.select("block", F.col("a").alias("b"), F.col("va").alias("vb"), F.col("na").alias("nb"))
-    pairs = rows.join(other, "block").filter("a < b")
-    return pairs.withColumn("sim", cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb"))).filter(F.col("sim") >= threshold).select("block", "a", "b", "sim")
+    """(block, a, b, sim) of pairs a < b within a block with cosine >= threshold."""
+    rows = _usable(df, F.col(block), key, vector)
+    return _tiles(rows, rows, lambda scores, a, b: (scores >= threshold) & (a[:, None] < b[None, :])).withColumnRenamed("score", "sim")
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, least: float | None = None, skip_self: bool = False) -> DataFrame:
-    """(query, id, score, rank): the k most similar rows of ``base`` for each query; ties by id. ``queries`` is a bounded set."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("vq"), norm(F.col(vector)).alias("nq"))
-    b = base.select(F.col(key).alias("id"), F.col(vector).alias("vb"), norm(F.col(vector)).alias("nb"))
-    scored = b.join(F.broadcast(q)).withColumn("score", cosine(F.col("vq"), F.col("vb"), F.col("nq"), F.col("nb")))
-    if skip_self:
-        scored = scored.filter("query <> id")
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
+    """(query, id, score, rank): the k most similar rows of ``base`` for each query; ties by id. Each tile gives k rows a query at most."""
+
+    def best(scores: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok = scores >= (least if least is not None else -2)
+        if skip_self:
+            ok &= a[:, None] != b[None, :]
+        order = np.argsort(np.where(ok, -scores, np.inf), axis=1, kind="stable")[:, :k]  # columns are in order of ids
+        chosen = np.zeros_like(ok)
+        np.put_along_axis(chosen, order, True, axis=1)
+        return chosen & ok
+
+    whole = F.lit(0)
+    found = _tiles(_usable(queries, whole, key, vector), _usable(base, whole, key, vector), best)
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.select("query", "id", "score").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    found = found.select(F.col("a").alias("query"), F.col("b").alias("id"), "score")
+    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
 def components(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphkiln.functions.cut import shared_folder
 from graphkiln.operators import documents
 from graphkiln.sources.star import table
 
@@ -92,7 +95,12 @@ def output_naming(spark, d) -> DataFrame:
     return _chosen(spark, d).select(F.concat_ws("_", F.lpad(F.col("place").cast("string"), 3, "0"), "grp").alias("name"), F.format_string("%.2f", "score").alias("score"))
 
 
-QUERIES["sink_manifest"], ORACLES["sink_manifest"] = output_naming, ORACLES["output_naming"]
+@query(f"{CHOSEN} SELECT id, grp, reason, place, round(score, 6) AS score FROM a WHERE place <= {TARGET}")
+def sink_manifest(spark, d) -> DataFrame:
+    """The manifest of the chosen documents, written as JSON lines and read back."""
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    _chosen(spark, d).select("id", "grp", "reason", "place", F.round("score", 6).alias("score")).write.json(path)
+    return spark.read.schema("id bigint, grp string, reason string, place int, score double").json(path)
 
 
 @query("SELECT doc_id, contains(text, '**URL**:') OR contains(text, '**Source**:') OR regexp_matches(text, '(?im)^##\\s+metadata\\s*$') AS leak FROM documents")
@@ -100,9 +108,9 @@ def has_metadata_leak(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", documents.metadata_leak(F.col("text")).alias("leak"))
 
 
-@query("SELECT doc_id, trim(left(text, 40)) AS body, lang AS value FROM documents")
+@query("SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, lang AS value FROM documents")
 def strip_metadata(spark, d) -> DataFrame:
-    made = F.concat(F.lit("## Metadata\n\n- **Lang**: "), "lang", F.lit("\n- **Key**: x\n\n"), F.left("text", F.lit(40)))
+    made = F.concat(F.lit("## Metadata\n\n- **Lang**: "), "lang", F.lit("\n- **Key**: x\n\n"), "text")
     rows = table(spark, d, "documents").select("doc_id", "text", made.alias("m"))
     return rows.select("doc_id", documents.strip_metadata(F.col("m")).alias("body"), F.try_element_at(documents.parse_metadata(F.col("m")), F.lit("Lang")).alias("value"))
 
@@ -132,9 +140,9 @@ def greedy_doc_cluster(spark, d) -> DataFrame:
     return documents.cluster_by_name(table(spark, d, "part").select(F.regexp_replace("p_type", " ", "_").alias("name")).distinct())
 
 
-@query("SELECT text, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+@query("SELECT sha1(text) AS digest, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_texts(spark, d) -> DataFrame:
-    return table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).filter("n > 1")
+    return table(spark, d, "documents").groupBy(F.sha1(F.col("text").cast("binary")).alias("digest")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).filter("n > 1")
 
 
 @query(r"SELECT conv_id, turn, regexp_split_to_array(text, '[;:]\s+|\n+') AS clauses FROM conversations")
@@ -153,21 +161,21 @@ def related_links(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.size(links).alias("n_links"))
 
 
-@query(r"WITH w AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(left(text, 120)), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark), g AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY gram")
+@query(r"WITH w AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark), g AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY gram")
 def query_terms(spark, d) -> DataFrame:
     """Two-word terms of the questions."""
-    words = F.array_remove(F.split(F.regexp_replace(F.lower(F.left("text", F.lit(120))), "[^a-z]+", " "), " "), "")
+    words = F.array_remove(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), "")
     rows = table(spark, d, "benchmark").select(words.alias("w")).filter("size(w) > 1")
     grams = rows.select(F.explode(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, length(text)::INTEGER AS n, sha1(text) AS digest FROM documents ORDER BY doc_id LIMIT 200")
+@query("SELECT doc_id, length(text)::INTEGER AS n, sha1(text) AS digest FROM documents")
 def scan_markdown(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), F.sha1(F.col("text").cast("binary")).alias("digest")).orderBy("doc_id").limit(200)
+    return table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), F.sha1(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("SELECT lang, count(DISTINCT lower(left(text, 200))) AS n_starts, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT lang, count(DISTINCT md5(lower(text))) AS n_starts, count(*) AS n FROM documents GROUP BY lang")
 def document_starts(spark, d) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(F.countDistinct(F.lower(F.left("text", F.lit(200)))).alias("n_starts"), F.count("*").alias("n"))
+    return table(spark, d, "documents").groupBy("lang").agg(F.countDistinct(F.md5(F.lower("text").cast("binary"))).alias("n_starts"), F.count("*").alias("n"))
 

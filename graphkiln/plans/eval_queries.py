@@ -111,17 +111,27 @@ def pack_items(spark, d) -> DataFrame:
     return ev.pack(docs, "source", "doc_id", "text", 12, 20_000).select("source", "doc_id", "item", F.col("chars_so_far").cast("long").alias("chars_so_far"))
 
 
-QUERIES["running_char_budget"], ORACLES["running_char_budget"] = pack_items, ORACLES["pack_items"]
+@query("SELECT conv_id, turn, sum(length(text)) OVER w AS chars_so_far, sum(length(text)) OVER w <= 2000 AS within FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
+def running_char_budget(spark, d) -> DataFrame:
+    """How far each message fills its conversation's budget, and whether it fits."""
+    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(upto).alias("chars_so_far"))
+    return rows.withColumn("within", F.col("chars_so_far") <= 2000)
 
 
 @query("SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def dedupe_chunks(spark, d) -> DataFrame:
-    """The first of equal texts, with its rank in the whole list; ranks by a sort and partition offsets would serve larger lists."""
-    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))
-    return ev.dedupe_first(docs, F.col("text"), "rank").select("doc_id", "rank")
+    """The first of equal texts (by a digest), with its rank in the whole list."""
+    docs = table(spark, d, "documents").select("doc_id", F.struct(F.xxhash64("text"), F.sha1(F.col("text").cast("binary"))).alias("digest"))
+    ranked = ev.ranked(docs, "doc_id")
+    return ranked.groupBy("digest").agg(F.min(F.struct("rank", "doc_id")).alias("x")).select("x.doc_id", "x.rank")
 
 
-QUERIES["rank_attach"], ORACLES["rank_attach"] = dedupe_chunks, ORACLES["dedupe_chunks"]
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
+def rank_attach(spark, d) -> DataFrame:
+    """Ranks in one order over all rows, by partitions of a range sort."""
+    docs = table(spark, d, "documents").select("doc_id", (-F.col("n_chars")).alias("near"))
+    return ev.ranked(docs, "near", "doc_id").select("doc_id", "rank")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE props <> '' GROUP BY ALL")
@@ -135,11 +145,11 @@ def last_user_message(spark, d) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))).alias("question"), F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, list(left(text, 10)) OVER w AS facts FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
+@query("SELECT conv_id, turn, list(text) OVER w AS facts FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
 def rolling_summary(spark, d) -> DataFrame:
     """What the messages before added: the state that a document cluster carries along."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.collect_list(F.left("text", F.lit(10))).over(before).alias("facts"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-20, -1)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.collect_list("text").over(before).alias("facts"))
     return rows.withColumn("facts", F.when(F.size("facts") > 0, F.col("facts")))
 
 
@@ -161,15 +171,9 @@ def sorted_quota(spark, d) -> DataFrame:
     return ev.largest_remainder(quotas, 77)
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.n') AS BIGINT) AS n FROM events WHERE props <> ''")
-def scan_jsonl(spark, d) -> DataFrame:
-    return table(spark, d, "events").filter("props <> ''").select("event_id", F.from_json("props", "n bigint")["n"].alias("n"))
-
-
-@query("SELECT event_type, count(*) AS files, sum(value) > 0 AS positive, round(avg(value), 6) AS avg_value FROM events WHERE event_id % 9 <> 0 GROUP BY 1")
+@query("SELECT event_type, count(*) AS files, sum(value) > 0 AS positive, round(avg(value), 6) AS avg_value FROM events GROUP BY 1")
 def extraction_metrics(spark, d) -> DataFrame:
-    ok = table(spark, d, "events").filter("event_id % 9 <> 0")
-    return ok.groupBy("event_type").agg(F.count("*").alias("files"), (F.sum("value") > 0).alias("positive"), F.round(F.avg("value"), 6).alias("avg_value"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("files"), (F.sum("value") > 0).alias("positive"), F.round(F.avg("value"), 6).alias("avg_value"))
 
 
 @query("SELECT term, count(*) AS n FROM (SELECT unnest([event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END]) AS term FROM events) GROUP BY term")
@@ -178,18 +182,18 @@ def tag_category_counts(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, left(event_type, 4) || CASE WHEN length(event_type) > 4 THEN '…' ELSE '' END AS short FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, left(event_type, 4) || CASE WHEN length(event_type) > 4 THEN '…' ELSE '' END AS short FROM events")
 def truncate(spark, d) -> DataFrame:
-    return table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", shorten(F.col("event_type"), 4).alias("short"))
+    return table(spark, d, "events").select("event_id", shorten(F.col("event_type"), 4).alias("short"))
 
 
 def shorten(text, size: int):
     return F.concat(F.left(text, F.lit(size)), F.when(F.length(text) > size, "…").otherwise(""))
 
 
-@query("SELECT doc_id, left(text, 5000 // 3) || CASE WHEN length(text) > 5000 // 3 THEN '…' ELSE '' END AS capped FROM documents WHERE doc_id % 5 = 0")
+@query("SELECT doc_id, left(text, 5000 // 3) || CASE WHEN length(text) > 5000 // 3 THEN '…' ELSE '' END AS capped FROM documents")
 def cap_context(spark, d) -> DataFrame:
-    return table(spark, d, "documents").filter("doc_id % 5 = 0").select("doc_id", shorten(F.col("text"), 5000 // 3).alias("capped"))
+    return table(spark, d, "documents").select("doc_id", shorten(F.col("text"), 5000 // 3).alias("capped"))
 
 
 @query("SELECT user_id, list_sort(list_distinct(list(event_type)))[1:3] AS kept, greatest(0, len(list_distinct(list(event_type))) - 3)::INTEGER AS omitted FROM events GROUP BY user_id")
@@ -198,9 +202,10 @@ def compact_properties(spark, d) -> DataFrame:
     return kinds.select("user_id", F.slice("kinds", 1, 3).alias("kept"), F.greatest(F.lit(0), F.size("kinds") - 3).alias("omitted"))
 
 
-@query("SELECT event_id, coalesce(trim(props) = '' OR contains(lower(props), '\"n\": 1'), true) AS failed FROM events")
+@query("SELECT event_id, coalesce(trim(answer) = '' OR contains(lower(answer), 'provider error'), true) AS failed FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Provider Error: ' || props ELSE props END AS answer FROM events)")
 def result_failed(spark, d) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.coalesce((F.trim("props") == "") | F.lower("props").contains('"n": 1'), F.lit(True)).alias("failed"))
+    answer = F.when(F.col("event_type") == "error", F.concat(F.lit("Provider Error: "), "props")).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", ev.failed(answer).alias("failed"))
 
 
 @query("SELECT user_id, list_sort(list(DISTINCT event_type)) AS cited, count(DISTINCT event_type) FILTER (event_type IN ('view', 'click')) AS n_valid, count(DISTINCT event_type) FILTER (event_type NOT IN ('view', 'click')) AS n_invalid FROM events GROUP BY user_id")

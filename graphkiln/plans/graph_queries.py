@@ -33,9 +33,9 @@ def resolve_and_rewire(spark, d) -> DataFrame:
     return counted.groupBy("type").agg(F.sum("c").alias("n_edges"), F.count("*").alias("n_distinct"), F.sum(F.col("c") - 1).alias("n_removed"), F.max("c").alias("max_merge"))
 
 
-@query(f"{G}, {REMAPPED} SELECT * FROM moved WHERE type <> 'SUPPLIES'")
+@query(f"{G}, {REMAPPED} SELECT * FROM moved")
 def remap_endpoints(spark, d) -> DataFrame:
-    return graph.remap_endpoints(star.edges(spark, d).filter("type <> 'SUPPLIES'"), star.canonical_map(spark, d)).select("id", "type", "source", "target")
+    return graph.remap_endpoints(star.edges(spark, d), star.canonical_map(spark, d)).select("id", "type", "source", "target")
 
 
 @query(f"{G} SELECT coalesce(m.canonical_id, n.id) AS id, count(*) AS n_members, min(n.name) AS first_name FROM nodes n LEFT JOIN remap m ON m.node_id = n.id GROUP BY 1")
@@ -49,9 +49,9 @@ def filter_edges(spark, d) -> DataFrame:
     return graph.edge_audit(graph.remap_endpoints(star.edges(spark, d), star.canonical_map(spark, d)), star.nodes(spark, d))
 
 
-@query(f"{G} {DEDUPED} FROM edges WHERE type = 'SUPPLIES' GROUP BY source, target, type")
+@query(f"{G} {DEDUPED} FROM edges GROUP BY source, target, type")
 def dedupe_edges(spark, d) -> DataFrame:
-    return graph.dedupe_edges(star.edges(spark, d).filter("type = 'SUPPLIES'")).select("source", "target", "type", "id", "merged_from_ids", "merge_count")
+    return graph.dedupe_edges(star.edges(spark, d)).select("source", "target", "type", "id", "merged_from_ids", "merge_count")
 
 
 @query(f"{G}, {REMAPPED} {DEDUPED} FROM moved WHERE source <> target GROUP BY source, target, type")
@@ -82,9 +82,9 @@ def sink_nodes_upsert(spark, d) -> DataFrame:
     return graph.upsert_nodes(events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1"), "user_id", "event_id")
 
 
-@query(f"{G} SELECT source, s.name AS source_name, type, target, t.name AS target_name FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE type <> 'SUPPLIES'")
+@query(f"{G} SELECT source, s.name AS source_name, type, target, t.name AS target_name FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target")
 def edge_pattern(spark, d) -> DataFrame:
-    return graph.edge_pattern(star.edges(spark, d).filter("type <> 'SUPPLIES'"), star.nodes(spark, d))
+    return graph.edge_pattern(star.edges(spark, d), star.nodes(spark, d))
 
 
 @query(f"""{G}, e AS (SELECT DISTINCT type, source, target FROM edges),
@@ -97,9 +97,9 @@ def entity_details(spark, d) -> DataFrame:
 NEAR = "near AS (SELECT source AS id, type, target AS other FROM edges UNION SELECT target, type, source FROM edges)"
 
 
-@query(f"{G}, {NEAR} SELECT id, type, other, row_number() OVER (PARTITION BY id ORDER BY type, other) AS rank FROM near WHERE id LIKE 'nation%' QUALIFY rank <= 10")
+@query(f"{G}, {NEAR} SELECT id, type, other, row_number() OVER (PARTITION BY id ORDER BY type, other) AS rank FROM near WHERE id IN (SELECT id FROM nodes) QUALIFY rank <= 10")
 def neighbors_undirected(spark, d) -> DataFrame:
-    ids = star.nodes(spark, d).filter("id LIKE 'nation%'").select("id")
+    ids = star.nodes(spark, d).select("id")
     return graph.neighbors(star.edges(spark, d), ids, 10).select("id", "type", "other", "rank")
 
 
@@ -177,9 +177,11 @@ def skip_existing(spark, d) -> DataFrame:
     return star.nodes(spark, d).join(star.canonical_map(spark, d).withColumnRenamed("node_id", "id"), "id", "left_anti").select("id")
 
 
-@query("WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7) % 1500 AS b FROM orders), r(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT b, depth + 1 FROM r JOIN l ON a = id WHERE depth < 12) SELECT id, min(depth) AS depth FROM r GROUP BY id")
+@query("WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7) % (SELECT max(o_custkey) + 1 FROM orders) AS b FROM orders), r(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT b, depth + 1 FROM r JOIN l ON a = id WHERE depth < 12) SELECT id, min(depth) AS depth FROM r GROUP BY id")
 def crawl_bfs(spark, d) -> DataFrame:
-    links = star.table(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_custkey") * 7 % 1500).alias("target")).distinct()
+    orders = star.table(spark, d, "orders").select("o_custkey")
+    size = orders.agg(F.max("o_custkey") + 1).first()[0] or 1
+    links = orders.distinct().select(F.col("o_custkey").alias("source"), (F.col("o_custkey") * 7 % size).alias("target"))
     return graph.bfs(links, spark.range(1, 2), 12)
 
 
@@ -191,10 +193,10 @@ def validate_kg(spark, d) -> DataFrame:
     return missing.unionByName(keys.select(F.lit("duplicate_edge_key").alias("problem"), "subject"))
 
 
-@query(f"{G} SELECT id, type, coalesce(nullif(source, ''), nullif(target, '')) AS first_end FROM edges WHERE source <> '' AND target <> '' AND type <> 'SUPPLIES'")
+@query(f"{G} SELECT id, type, coalesce(nullif(source, ''), nullif(target, '')) AS first_end FROM edges WHERE source <> '' AND target <> ''")
 def extract_relationship_records(spark, d) -> DataFrame:
     nonempty = lambda c: F.nullif(F.col(c), F.lit(""))
-    kept = star.edges(spark, d).filter("type <> 'SUPPLIES'").filter(nonempty("source").isNotNull() & nonempty("target").isNotNull())
+    kept = star.edges(spark, d).filter(nonempty("source").isNotNull() & nonempty("target").isNotNull())
     return kept.select("id", F.coalesce("type", F.lit("RELATED_TO")).alias("type"), F.coalesce(nonempty("source"), nonempty("target")).alias("first_end"))
 
 
@@ -239,18 +241,17 @@ def canonical_outputs(spark, d) -> DataFrame:
     return star.nodes(spark, d).join(remap, "id").select("id", "name", "canonical_id")
 
 
-@query(f"{G} SELECT source, type, target FROM edges WHERE source <> target AND type = 'PEER'")
+@query(f"{G} SELECT source, type, target FROM edges WHERE source <> target")
 def delete_self_loops(spark, d) -> DataFrame:
-    return star.edges(spark, d).filter("source <> target AND type = 'PEER'").select("source", "type", "target")
+    return star.edges(spark, d).filter("source <> target").select("source", "type", "target")
 
 
 @query(f"""{G}, m AS (SELECT id, CASE WHEN id IN ('nation_3', 'nation_5') THEN 'nation_1' ELSE id END AS t FROM nodes),
 w AS (SELECT a.t AS source, b.t AS target, type FROM edges JOIN m a ON a.id = source JOIN m b ON b.id = target WHERE a.t <> b.t)
-SELECT source, target, type, count(*) AS merge_count FROM w WHERE type IN ('IN_NATION', 'IN_REGION') GROUP BY ALL""")
+SELECT source, target, type, count(*) AS merge_count FROM w GROUP BY ALL""")
 def merge_entities(spark, d) -> DataFrame:
     nodes = star.nodes(spark, d).withColumn("aliases", F.array("name"))
-    kept = star.edges(spark, d).filter(F.col("type").isin("IN_NATION", "IN_REGION"))
-    return graph.merge_entities(nodes, kept, "nation_1", ["nation_3", "nation_5"])[1].select("source", "target", "type", "merge_count")
+    return graph.merge_entities(nodes, graph.valid_edges(star.edges(spark, d), nodes), "nation_1", ["nation_3", "nation_5"])[1].select("source", "target", "type", "merge_count")
 
 
 @query(f"{G} SELECT labels[1] AS label, count(*) AS n, min(name) AS first_name FROM nodes GROUP BY 1 HAVING count(*) > 20")

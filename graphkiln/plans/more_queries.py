@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphkiln.functions import text as t
 from graphkiln.functions.ship import ship
-from graphkiln.operators import graph, rag, resolution, vectors
+from graphkiln.operators import documents, graph, rag, resolution, vectors
 from graphkiln.sources.star import table
 
 QUERIES: dict = {}
@@ -47,9 +47,14 @@ def sink_embeddings_upsert(spark, d) -> DataFrame:
     return graph.upsert_nodes(old, old.filter("vec_id % 4 = 0").withColumn("version", F.lit(2)), "vec_id")
 
 
-@query("SELECT doc_id || '_0' AS chunk_id, left(text, 80) AS text FROM documents")
+@query(None)
 def sink_chunks(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("_0")).alias("chunk_id"), F.left("text", F.lit(80)).alias("text"))
+    """The chunks of all documents with their vectors, upserted by a key that depends on the document and place only."""
+    made = documents.chunks(table(spark, d, "documents"))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    rows = made.select(t.uuid5(key).alias("chunk_id"), "doc_id", "chunk_index", "text")
+    vector = vectors.hash_embedding(rows, "chunk_id", "text", 32)
+    return graph.upsert_nodes(rows.limit(0).withColumn("version", F.lit(0)), rows.withColumn("version", F.lit(1)), "chunk_id").join(vector, "chunk_id", "left")
 
 
 @query("SELECT event_id, event_type AS name, ['n', 'tags'] AS kept FROM events WHERE props <> ''")
@@ -110,25 +115,25 @@ def name_similarity(spark, d) -> DataFrame:
     return pairs.select("a", "b", resolution.name_similarity("x", "y").alias("sim"))
 
 
-@query("SELECT event_id, event_type AS label, event_type <> 'error' AS valid FROM events WHERE event_id % 50 = 0")
+@query("SELECT event_id, event_type AS label, event_type <> 'error' AS valid FROM events")
 def judge_triplet(spark, d) -> DataFrame:
     """A judge's JSON answers parsed and checked."""
     label = F.when(F.col("event_type") == "error", "nonsense").otherwise("correct")
     answer = F.concat(F.lit('text {"label": "'), label, F.lit('", "confidence": 0.9, "reason": "fine"} more'))
-    rows = table(spark, d, "events").filter("event_id % 50 = 0").select("event_id", "event_type", rag.judgement(answer).alias("j"))
+    rows = table(spark, d, "events").select("event_id", "event_type", rag.judgement(answer).alias("j"))
     return rows.select("event_id", F.when(F.col("j.label") == "supported", F.col("event_type")).otherwise("error").alias("label"), "j.valid")
 
 
-@query("SELECT event_id, NOT contains(event_type, 'error') AS consistent FROM events WHERE event_id % 20 = 0")
+@query("SELECT event_id, NOT contains(event_type, 'error') AS consistent FROM events")
 def reason_consistency(spark, d) -> DataFrame:
     reason = F.when(F.col("event_type") == "error", "so it is contradicted").otherwise("so it holds")
-    return table(spark, d, "events").filter("event_id % 20 = 0").select("event_id", rag.consistent(F.lit("supported"), reason).alias("consistent"))
+    return table(spark, d, "events").select("event_id", rag.consistent(F.lit("supported"), reason).alias("consistent"))
 
 
-@query("SELECT item_id, 'top: ' || left(text, 20) AS answer, 1::INTEGER AS tries FROM benchmark")
+@query("SELECT item_id, 'top: ' || text AS answer, 1::INTEGER AS tries FROM benchmark")
 def synthesize(spark, d) -> DataFrame:
-    """Answers by the default provider: the start of the best passage."""
-    rows = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(20)).alias("prompt"))
+    """Answers by the default provider: the best passage."""
+    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("prompt"))
     return rag.ask(rows, "prompt", lambda p: f"top: {p}").select("item_id", "answer", "tries")
 
 
@@ -138,10 +143,14 @@ def mode_evidence(spark, d) -> DataFrame:
     return modes.select("mode", rag.evidence_mode(F.col("mode"), F.array(F.lit("c")), F.array(F.lit("f"))).alias("e")).select("mode", "e.chunks", "e.facts")
 
 
-@query("SELECT p_partkey, '\"' || p_brand || '_x y\"' AS clause FROM part WHERE NOT regexp_matches(p_brand, '[+\\-!(){}^~*?:/&|]')")
+ESCAPED = r"""regexp_replace({x}, '([+\-!(){{}}\[\]^"~*?:\\/&|])', '\\\1', 'g')"""
+
+
+@query("SELECT p_partkey, '\"' || " + ESCAPED.format(x="p_brand || ' (x) y+z'") + " || '\" OR ' || " + ESCAPED.format(x="p_brand || '-1'") + " || ' OR ' || " + ESCAPED.format(x="p_brand || '-1'") + " || '*' AS clause FROM part")
 def lucene_query(spark, d) -> DataFrame:
-    kept = table(spark, d, "part").filter(~F.col("p_brand").rlike(r"[+\-!(){}^~*?:/&|]"))
-    return kept.select("p_partkey", rag.lucene(F.array(F.concat("p_brand", F.lit("_x y")))).alias("clause"))
+    """A phrase and a word, both with characters to escape, and a blank term."""
+    terms = F.array(F.concat("p_brand", F.lit(" (x) y+z")), F.lit(" "), F.concat("p_brand", F.lit("-1")))
+    return table(spark, d, "part").select("p_partkey", rag.lucene(terms).alias("clause"))
 
 
 @query("SELECT p_partkey, [p_brand, p_type[1:3]] AS merged FROM part WHERE lower(p_type[1:3]) <> lower(p_brand)")
@@ -151,18 +160,17 @@ def keyword_merge(spark, d) -> DataFrame:
     return rows.select("p_partkey", rag.merge_keywords([F.array("p_brand"), F.array(start, F.upper(F.col("p_brand")))], 2).alias("merged"))
 
 
-@query("SELECT event_id, '[{\"id\":' || user_id || '}]' AS entities FROM events WHERE event_id % 25 = 0")
+@query("SELECT event_id, '[{\"id\":' || user_id || '}]' AS entities FROM events")
 def context_format(spark, d) -> DataFrame:
-    rows = table(spark, d, "events").filter("event_id % 25 = 0")
+    rows = table(spark, d, "events")
     none = F.array().cast("array<string>")
     made = rag.context_text(F.array(F.struct(F.col("user_id").alias("id"))), none, none, none)
     return rows.select("event_id", rag.context_section(made, "Entities").alias("entities"))
 
 
-@query("SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INTEGER AS n FROM conversations WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) <= 8")
+@query("SELECT conv_id, turn, least(8, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::INTEGER AS n FROM conversations")
 def compact_reasoning(spark, d) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.size(rag.reasoning_steps(F.col("text"), 9)).alias("n"))
-    return rows.filter("n <= 8")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(rag.reasoning_steps(F.col("text"), 8)).alias("n"))
 
 
 @query("SELECT id, chain_end FROM (SELECT vec_id AS id, vec_id // 8 * 8 AS chain_end FROM embeddings)")

@@ -49,10 +49,9 @@ def fragment_score(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", score.alias("score")).filter("score IS NOT NULL")
 
 
-@query(f"WITH {star.NODES_SQL}, {star.EDGES_SQL} SELECT type, source, CASE WHEN lower(type) = 'nation' THEN 100 WHEN contains(lower(s.name), 'nation') OR contains(lower(t.name), 'nation') THEN 70 WHEN contains(lower(type), 'nation') THEN 50 END AS score FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE type IN ('IN_NATION', 'IN_REGION')")
+@query(f"WITH {star.NODES_SQL}, {star.EDGES_SQL} SELECT type, source, CASE WHEN lower(type) = 'nation' THEN 100 WHEN contains(lower(s.name), 'nation') OR contains(lower(t.name), 'nation') THEN 70 WHEN contains(lower(type), 'nation') THEN 50 END AS score FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target")
 def fragment_edge_score(spark, d) -> DataFrame:
-    kept = star.edges(spark, d).filter(F.col("type").isin("IN_NATION", "IN_REGION"))
-    rows = graph.edge_pattern(kept, star.nodes(spark, d))
+    rows = graph.edge_pattern(star.edges(spark, d), star.nodes(spark, d))
     none = F.array().cast("array<string>")
     score = search.fragment_edge_score("nation", F.col("type"), none, F.col("source_name"), none, F.col("target_name"), none)
     return rows.select("type", "source", score.alias("score"))
@@ -120,7 +119,11 @@ def merge_rule_based(spark, d) -> DataFrame:
     return r.groupBy("id").agg(resolution.longest("event_type", "pos").alias("value"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
 
 
-QUERIES["merge_properties"], ORACLES["merge_properties"] = merge_rule_based, ORACLES["merge_rule_based"]
+@query("SELECT user_id AS id, arg_min(event_type, event_id) AS kept, arg_min(nullif(trim(props), ''), event_id) FILTER (nullif(trim(props), '') IS NOT NULL) AS filled, list_sort(list(DISTINCT event_type)) AS united FROM events GROUP BY user_id")
+def merge_properties(spark, d) -> DataFrame:
+    """The first of conflicting scalars stays, blanks are filled by the first that isn't, lists are united."""
+    given = F.nullif(F.trim("props"), F.lit(""))
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min_by("event_type", "event_id").alias("kept"), F.min_by(given, F.when(given.isNotNull(), F.col("event_id"))).alias("filled"), F.array_sort(F.collect_set("event_type")).alias("united"))
 
 
 @query(f"{RECORDS} SELECT id, list_sort(list(DISTINCT 'f' || f)) AS lineage FROM r GROUP BY id HAVING count(*) > 1")
@@ -170,19 +173,9 @@ def id_remap_proposals(spark, d) -> DataFrame:
     return proposals.select(F.explode("ids").alias("node_id"), F.get("ids", F.lit(0)).alias("canonical_id")).filter("node_id <> canonical_id")
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE round(100.0 * 2 * (7 + CASE WHEN list_has_any(string_split(substr(a.n_name, 8), ''), string_split(substr(b.n_name, 8), '')) THEN 1 ELSE 0 END) / (length(a.n_name) + length(b.n_name))) / 100 >= 0.8")
-def split_person(spark, d) -> DataFrame:
-    """Pairs of a region whose names are alike enough to be one."""
-    n = table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"))
-    other = n.select("n_regionkey", F.col("a").alias("b"), F.col("x").alias("y"))
-    ship(spark)
-    pairs = n.join(other, "n_regionkey").filter("a < b").withColumn("sim", resolution.name_similarity("x", "y"))
-    return pairs.filter("sim >= 0.8").select("a", "b")
-
-
-@query("WITH p AS (SELECT a.label AS cluster, a.vec_id % 7 = b.vec_id % 7 AS same FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 50 = b.vec_id % 50) SELECT cluster, NOT bool_or(same) AS source_ok FROM p GROUP BY cluster")
+@query("WITH p AS (SELECT a.label AS cluster, a.vec_id % 7 = b.vec_id % 7 AS same FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT cluster, NOT bool_or(same) AS source_ok FROM p GROUP BY cluster")
 def validate_source(spark, d) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("a"), (F.col("vec_id") % 50).alias("k"))
-    other = e.select("cluster", "k", F.col("a").alias("b"))
-    pairs = e.join(other, ["cluster", "k"]).filter("a < b").select("cluster", F.lit(1.0).alias("name_sim"), F.lit(1.0).alias("alias_sim"), (F.col("a") % 7 == F.col("b") % 7).alias("same_source"))
+    e = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("a"))
+    other = e.select("cluster", F.col("a").alias("b"))
+    pairs = e.join(other, "cluster").filter("a < b").select("cluster", F.lit(1.0).alias("name_sim"), F.lit(1.0).alias("alias_sim"), (F.col("a") % 7 == F.col("b") % 7).alias("same_source"))
     return resolution.pair_checks(pairs).select("cluster", "source_ok")

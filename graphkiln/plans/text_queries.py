@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphkiln.functions import text as t
+from graphkiln.sources import star
 from graphkiln.sources.star import table
 
 QUERIES: dict = {}
@@ -23,7 +24,7 @@ def query(sql: str | None = None):
 
 
 COLLAPSE = r"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
-FIRST = "WITH f AS (SELECT doc_id, split_part(text, chr(10), 1) AS line, text FROM documents)"
+WHOLE = "WITH f AS (SELECT doc_id, text AS line FROM documents)"
 FOLD = "strip_accents(replace(replace({x}, 'đ', 'd'), 'Đ', 'D'))"
 
 
@@ -40,33 +41,33 @@ QUERY = c(rf"regexp_replace(regexp_replace({SEARCH}, '[_\-/\\.]+', ' ', 'g'), '[
 MATCH = r"trim(regexp_replace(replace(lower(regexp_replace(" + fold("line") + r", '[^\x00-\x7F]', '', 'g')), '_', ' '), '[^a-z0-9@./:+\-]+', ' ', 'g'))"
 
 
-def first_lines(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"), "text")
+def texts(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("line"))
 
 
-@query(f"{FIRST} SELECT doc_id, {c('line')} AS normal FROM f")
+@query(f"{WHOLE} SELECT doc_id, {c('line')} AS normal FROM f")
 def normalize_text(spark, d) -> DataFrame:
-    return first_lines(spark, d).select("doc_id", t.normalize_text(F.col("line")).alias("normal"))
+    return texts(spark, d).select("doc_id", t.normalize_text(F.col("line")).alias("normal"))
 
 
-@query(f"{FIRST} SELECT doc_id, {fold('line')} AS plain FROM f")
+@query(f"{WHOLE} SELECT doc_id, {fold('line')} AS plain FROM f")
 def strip_accents(spark, d) -> DataFrame:
-    return first_lines(spark, d).select("doc_id", t.strip_accents(F.col("line")).alias("plain"))
+    return texts(spark, d).select("doc_id", t.strip_accents(F.col("line")).alias("plain"))
 
 
-@query(f"{FIRST} SELECT doc_id, {SEARCH} AS stored, {QUERY} AS asked FROM f")
+@query(f"{WHOLE} SELECT doc_id, {SEARCH} AS stored, {QUERY} AS asked FROM f")
 def normalize_search_text(spark, d) -> DataFrame:
-    return first_lines(spark, d).select("doc_id", t.search_text(F.col("line")).alias("stored"), t.query_text(F.col("line")).alias("asked"))
+    return texts(spark, d).select("doc_id", t.search_text(F.col("line")).alias("stored"), t.query_text(F.col("line")).alias("asked"))
 
 
-@query(f"{FIRST} SELECT doc_id, {MATCH} AS matched FROM f")
+@query(f"{WHOLE} SELECT doc_id, {MATCH} AS matched FROM f")
 def normalize_for_match(spark, d) -> DataFrame:
-    return first_lines(spark, d).select("doc_id", t.match_text(F.col("line")).alias("matched"))
+    return texts(spark, d).select("doc_id", t.match_text(F.col("line")).alias("matched"))
 
 
-@query(rf"{FIRST}, k AS (SELECT doc_id, regexp_replace(rtrim(substr(trim(regexp_replace(regexp_replace(replace(lower({fold('line')}), ' ', '_'), '[^a-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '_'), 1, 200), '_'), 'x^', '') AS k FROM f) SELECT doc_id, CASE WHEN k = '' THEN 'node_unknown' ELSE 'node_' || k END AS canonical_id FROM k")
+@query(rf"WITH f AS (SELECT p_partkey, p_name AS line FROM part), k AS (SELECT p_partkey, regexp_replace(rtrim(substr(trim(regexp_replace(regexp_replace(replace(lower({fold('line')}), ' ', '_'), '[^a-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '_'), 1, 200), '_'), 'x^', '') AS k FROM f) SELECT p_partkey, CASE WHEN k = '' THEN 'node_unknown' ELSE 'node_' || k END AS canonical_id FROM k")
 def build_canonical_id(spark, d) -> DataFrame:
-    return first_lines(spark, d).select("doc_id", t.canonical_id(F.col("line")).alias("canonical_id"))
+    return table(spark, d, "part").select("p_partkey", t.canonical_id(F.col("p_name")).alias("canonical_id"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'PERSON' WHEN p_size > 10 THEN 'ORGANIZATION' ELSE upper(p_brand) END AS primary_type FROM part")
@@ -75,7 +76,9 @@ def block_primary_type(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", t.primary_type(labels).alias("primary_type"))
 
 
-QUERIES["primary_type"], ORACLES["primary_type"] = block_primary_type, ORACLES["block_primary_type"]
+@query(f"WITH {star.NODES_SQL} SELECT id, CASE WHEN list_contains(list_transform(labels, lambda x: upper(x)), 'PERSON') THEN 'PERSON' WHEN list_contains(list_transform(labels, lambda x: upper(x)), 'ORGANIZATION') THEN 'ORGANIZATION' ELSE coalesce(upper(labels[1]), 'UNKNOWN') END AS primary_type FROM nodes")
+def primary_type(spark, d) -> DataFrame:
+    return star.nodes(spark, d).select("id", t.primary_type(F.col("labels")).alias("primary_type"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_brand LIKE '%1%' THEN 'a' WHEN p_type LIKE '%BRASS%' THEN 'b' ELSE 'unknown' END AS block FROM part")
@@ -137,9 +140,9 @@ def count_tokens(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", t.count_tokens(F.col("text")).alias("n_tokens"))
 
 
-@query(rf"{FIRST} SELECT doc_id, sha1(substr({MATCH}, 1, 1500)) AS fingerprint FROM f")
+@query(rf"{WHOLE} SELECT doc_id, sha1(substr({MATCH}, 1, 1500)) AS fingerprint FROM f")
 def fingerprint(spark, d) -> DataFrame:
-    return first_lines(spark, d).select("doc_id", t.fingerprint(F.col("line")).alias("fingerprint"))
+    return texts(spark, d).select("doc_id", t.fingerprint(F.col("line")).alias("fingerprint"))
 
 
 @query(r"SELECT page_id, CASE WHEN s = '' THEN 'page' ELSE s END || '_' || substr(sha1(url), 1, 10) || '.md' AS filename FROM (SELECT page_id, url, substr(trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\-]+', '_', 'g'), '_'), 1, 120) AS s FROM pages)")
@@ -149,22 +152,26 @@ def url_filename(spark, d) -> DataFrame:
 
 
 #: Parts of addresses that a crawl leaves out.
-SKIPPED = ("/tag/", "/category/", "/author/", "/feed", "/wp-", ".pdf", ".jpg", ".png", "mailto:", "javascript:", "#", "?share=", "/login", "/search", "?replytocom=")
+SKIPPED = ("/wp-admin/", "/wp-content/", "/wp-includes/", "/feed/", "/rss/", "/xmlrpc.php", ".jpg", ".jpeg", ".png", ".gif", ".pdf", ".zip", "/tag/", "/category/", "/author/")
 
 
 @query(f"SELECT page_id, url FROM pages WHERE NOT ({' OR '.join(f'contains(url, {chr(39)}{s}{chr(39)})' for s in SKIPPED)})")
 def filter_url(spark, d) -> DataFrame:
+    return table(spark, d, "pages").filter(crawled(F.col("url"))).select("page_id", "url")
+
+
+def crawled(url):
+    """Whether a crawl takes an address."""
     found = F.lit(False)
     for s in SKIPPED:
-        found = found | F.col("url").contains(s)
-    return table(spark, d, "pages").filter(~found).select("page_id", "url")
+        found = found | url.contains(s)
+    return ~found
 
 
-@query(r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(x, '\[([^\]]+)\]', 1))) = ['1', 'b'] AS ok, len(list_distinct(regexp_extract_all(x, '\[([^\]]+)\]', 1)))::INTEGER AS n FROM (SELECT doc_id, '[1] ' || left(text, 20) || ' [b] [1]' AS x FROM documents WHERE text NOT LIKE '%[%')")
+@query(r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(x, '\[([^\]]+)\]', 1))) AS cited, len(list_distinct(regexp_extract_all(x, '\[([^\]]+)\]', 1)))::INTEGER AS n FROM (SELECT doc_id, '[1] ' || text || ' [b] [1]' AS x FROM documents)")
 def extract_citations(spark, d) -> DataFrame:
-    found = t.citations(F.concat(F.lit("[1] "), F.left("text", F.lit(20)), F.lit(" [b] [1]")))
-    docs = table(spark, d, "documents").filter(~F.col("text").contains("["))
-    return docs.select("doc_id", (F.array_sort(found) == F.array(F.lit("1"), F.lit("b"))).alias("ok"), F.size(found).alias("n"))
+    rows = table(spark, d, "documents").select("doc_id", t.citations(F.concat(F.lit("[1] "), "text", F.lit(" [b] [1]"))).alias("found"))
+    return rows.select("doc_id", F.array_sort("found").alias("cited"), F.size("found").alias("n"))
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(lower(text), '[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]')) AS n_marked FROM documents GROUP BY lang")
@@ -172,9 +179,9 @@ def looks_vietnamese(spark, d) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(t.looks_vietnamese(F.col("text"))).alias("n_marked"))
 
 
-@query(f"{FIRST} SELECT doc_id, (' ' || {QUERY}) LIKE '% no%' AS negative FROM f")
+@query(f"{WHOLE} SELECT doc_id, (' ' || {QUERY}) LIKE '% no%' AS negative FROM f")
 def looks_negative(spark, d) -> DataFrame:
-    return first_lines(spark, d).select("doc_id", t.looks_negative(F.col("line")).alias("negative"))
+    return texts(spark, d).select("doc_id", t.looks_negative(F.col("line")).alias("negative"))
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(replace(regexp_replace('Entity#' || p_partkey || '; ' || p_name || ' #2', 'Entity#[0-9]+|#[0-9]+', '', 'g'), ';', ' '), '\s+', ' ', 'g')) AS text FROM part")
@@ -192,4 +199,14 @@ def jaccard_filename(spark, d) -> DataFrame:
     return pages.join(other, "a").select("a", "b", F.round(share, 6).alias("jaccard"))
 
 
-QUERIES["alias_jaccard"], ORACLES["alias_jaccard"] = jaccard_filename, ORACLES["jaccard_filename"]
+ALIASES = "list_distinct(list_filter(string_split(regexp_replace(lower(c_name || ' ' || c_mktsegment || ' of ' || c_nationkey), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))"
+
+
+@query(f"WITH a AS (SELECT c_nationkey AS block, c_custkey, {ALIASES} AS w FROM customer) SELECT a.block, a.c_custkey AS a, b.c_custkey AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM a JOIN a b ON a.block = b.block AND a.c_custkey < b.c_custkey WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.5")
+def alias_jaccard(spark, d) -> DataFrame:
+    """Pairs of a block that share at least half of their aliases."""
+    words = F.split(F.regexp_replace(F.lower(F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit(" of "), F.col("c_nationkey").cast("string"))), "[^a-z0-9]+", " "), " ")
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("a"), F.array_distinct(F.array_remove(words, "")).alias("w"))
+    other = rows.select("block", F.col("a").alias("b"), F.col("w").alias("v"))
+    share = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v")).cast("double")
+    return rows.join(other, "block").filter("a < b").withColumn("jaccard", F.round(share, 6)).filter("jaccard >= 0.5").select("block", "a", "b", "jaccard")

@@ -93,16 +93,16 @@ def knn_search(spark, d) -> DataFrame:
     return vectors.nearest(first, base, "vec_id", "embedding", 10).select("id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"{V} SELECT query, id, round(score, 4) AS score FROM (SELECT *, {TOP} FROM (SELECT q.vec_id AS query, b.vec_id AS id, list_cosine_similarity(q.e, b.e) AS score FROM v q, v b WHERE q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id)) WHERE rank <= 5")
+@query(f"{V} SELECT query, id, round(score, 4) AS score FROM (SELECT *, {TOP} FROM (SELECT q.vec_id AS query, b.vec_id AS id, list_cosine_similarity(q.e, b.e) AS score FROM v q, v b WHERE q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id)) WHERE rank <= 5")
 def similar_entities(spark, d) -> DataFrame:
     base = table(spark, d, "embeddings")
-    return vectors.nearest(base.filter("vec_id % 50 = 0"), base, "vec_id", "embedding", 5, skip_self=True).select("query", "id", F.round("score", 4).alias("score"))
+    return vectors.nearest(base.filter("vec_id % 20 = 0"), base, "vec_id", "embedding", 5, skip_self=True).select("query", "id", F.round("score", 4).alias("score"))
 
 
-@query(f"{V}, n AS (SELECT *, {TOP} FROM (SELECT q.vec_id AS query, b.vec_id AS id, list_cosine_similarity(q.e, b.e) AS score FROM v q, v b WHERE q.vec_id % 10 = 0)) SELECT DISTINCT least(query, id) AS a, greatest(query, id) AS b, round(score, 6) AS score FROM n WHERE rank <= 5 AND query <> id AND score >= {THRESHOLD}")
+@query(f"{V}, n AS (SELECT *, {TOP} FROM (SELECT q.vec_id AS query, b.vec_id AS id, list_cosine_similarity(q.e, b.e) AS score FROM v q, v b)) SELECT DISTINCT least(query, id) AS a, greatest(query, id) AS b, round(score, 6) AS score FROM n WHERE rank <= 5 AND query <> id AND score >= {THRESHOLD}")
 def duplicate_pairs(spark, d) -> DataFrame:
     base = table(spark, d, "embeddings")
-    near = vectors.nearest(base.filter("vec_id % 10 = 0"), base, "vec_id", "embedding", 5).filter("query <> id").filter(F.col("score") >= THRESHOLD)
+    near = vectors.nearest(base, base, "vec_id", "embedding", 5).filter("query <> id").filter(F.col("score") >= THRESHOLD)
     return near.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), F.round("score", 6).alias("score")).distinct()
 
 
@@ -147,11 +147,11 @@ def hash_embedding(spark, d) -> DataFrame:
     return made.select("p_partkey", F.posexplode("vector").alias("i", "x")).filter("abs(x) > 1e-9").withColumn("x", F.round("x", 6))
 
 
-@query(f"{V} SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+@query(f"{V} SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE b.vec_id = (SELECT min(vec_id) FROM v)")
 def cosine(spark, d) -> DataFrame:
     base = table(spark, d, "embeddings")
-    other = base.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("e2"))
-    return base.join(other, "vec_id").select("vec_id", "other", F.round(vectors.cosine(F.col("embedding"), F.col("e2")), 6).alias("score"))
+    first = base.agg(F.min_by(F.struct(F.col("vec_id").alias("other"), F.col("embedding").alias("e2")), "vec_id").alias("x")).select("x.*")
+    return base.join(F.broadcast(first)).select("vec_id", "other", F.round(vectors.cosine(F.col("embedding"), F.col("e2")), 6).alias("score"))
 
 
 @query(f"{LINKS} SELECT asg.id, asg.cluster_id, v.label AS payload FROM asg JOIN v ON v.vec_id = asg.id")
