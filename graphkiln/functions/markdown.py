@@ -228,15 +228,18 @@ def chunk(markdown: str | None, strategy: str = "section", most: int = 100, over
         parts = [(path, [p for b in blocks(body) for p in _pieces(b, most, overlap)]) for path, body in sections(text)]
     out: list[tuple[str, str]] = []
     for path, pieces in parts:
-        packed: list[str] = []
+        packed: list[list[str]] = []
+        sizes: list[int] = []
         for piece in pieces:
-            if strategy != "fixed" and packed and count(packed[-1]) + count(piece) <= most:
-                packed[-1] += "\n" + piece
-            elif strategy != "fixed" and packed and count(piece) < least and count(packed[-1]) + count(piece) <= most + overlap:
-                packed[-1] += "\n" + piece
+            n = count(piece)
+            fits = strategy != "fixed" and packed and (sizes[-1] + n <= most or (n < least and sizes[-1] + n <= most + overlap))
+            if fits:
+                packed[-1].append(piece)
+                sizes[-1] += n
             else:
-                packed.append(piece)
-        out += [(path, p) for p in packed]
+                packed.append([piece])
+                sizes.append(n)
+        out += [(path, "\n".join(p)) for p in packed]
     return [(k, path, text) for k, (path, text) in enumerate(out)]
 
 
