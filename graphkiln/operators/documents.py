@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +40,40 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", strategy: s
     return rows.mapInPandas(run, f"key {kind}, chunk_id string, chunk_index int, section string, text string").withColumnRenamed("key", key)
 
 
+def parts(docs: DataFrame, split: Callable[[str], list[tuple[str, str]]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, part, path, body): what a function makes of each whole text, numbered from 0; null texts have no parts."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, i, path, body) for k, x in zip(pdf["key"], pdf["text"], strict=True) for i, (path, body) in enumerate(split(x) if x else [])]
+            yield pd.DataFrame(rows, columns=["key", "part", "path", "body"])
+
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"key {kind}, part int, path string, body string").withColumnRenamed("key", key)
+
+
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, part, path, body): Markdown sections by their headings' path."""
+    return parts(docs, markdown.sections, key, text)
+
+
+def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, part, body): Markdown blocks."""
+    return parts(docs, lambda x: [("", b) for b in markdown.blocks(x)], key, text).drop("path")
+
+
+def split_content(docs: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, part, body): parts of at most ``most`` characters."""
+    return parts(docs, lambda x: [("", b) for b in markdown.split_by_chars(x, most)], key, text).drop("path")
+
+
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, part, body)"""
+    return parts(docs, lambda x: [("", b) for b in markdown.sentences(x)], key, text).drop("path")
+
+
 def token_windows(docs: DataFrame, key: str, text: str, most: int, overlap: int) -> DataFrame:
     """(key, start, tokens): windows of tokens in the JVM."""
     rows = docs.select(key, t.tokens(F.col(text)).alias("all")).filter("size(all) > 0")

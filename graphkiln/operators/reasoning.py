@@ -6,6 +6,7 @@ is one retrieval and one pass of the provider. A provider is ``prompt -> text``;
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable
@@ -66,6 +67,17 @@ def _listed(answer: Column, most: int) -> Column:
     return run(answer)
 
 
+def repaired(answer: Column, schema: str) -> Column:
+    """What a model meant as a JSON object, by ``rag.parse_json``, as a struct; null if nothing parses."""
+
+    @F.pandas_udf("string")
+    def run(answers: pd.Series) -> pd.Series:
+        found = [rag.parse_json(a) for a in answers]
+        return pd.Series([None if f is None else json.dumps(f) for f in found], dtype=object)
+
+    return F.from_json(run(answer), schema)
+
+
 def kept(context: Column, way: Column) -> Column:
     """The sections of a context that a way reads; "" if the context has none."""
     parts = lambda names: F.concat_ws("\n", *[F.nullif(rag.context_section(context, n), F.lit("")) for n in names])

@@ -8,7 +8,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphkiln.operators import reasoning, vectors
+from graphkiln.functions.ship import ship
+from graphkiln.operators import documents, rag, reasoning, vectors
 from graphkiln.plans.vector_queries import ORACLES as VECTOR_SQL
 from graphkiln.sources import star
 from graphkiln.sources.star import table
@@ -86,3 +87,55 @@ def update_embedding(spark, d) -> DataFrame:
     renamed = parts.filter("p_size > 25").select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
     made = reasoning.embed_renamed(store, renamed, "p_partkey", lambda df: vectors.hash_embedding(df, "p_partkey", "name", 32))
     return made.select("p_partkey", F.posexplode("vector").alias("i", "x")).filter("abs(x) > 1e-9").withColumn("x", F.round("x", 6))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind, event_type <> 'error' AS fine FROM events")
+def json_repair(spark, d) -> DataFrame:
+    """Every event's properties in the wrappings that models put around JSON: thoughts, fences, text, trailing commas, Python literals."""
+    ship(spark)
+    fine = F.col("event_type") != "error"
+    plain = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "kind": "'), "event_type", F.lit('", "fine": '), fine.cast("string"))
+    python = F.concat(F.lit("{'k': "), F.get_json_object("props", "$.k"), F.lit(", 'kind': '"), "event_type", F.lit("', 'fine': "), F.initcap(fine.cast("string")), F.lit(", 'more': None}"))
+    turn = F.pmod("event_id", F.lit(4))
+    answer = F.when(turn == 0, F.concat(F.lit("<think>{\"k\": 0}</think>\n```json\n"), plain, F.lit("}\n```")))
+    answer = answer.when(turn == 1, F.concat(F.lit("Here it is: "), plain, F.lit(",} and {more}"))).when(turn == 2, python).otherwise(F.concat(plain, F.lit("}")))
+    rows = table(spark, d, "events").select("event_id", reasoning.repaired(answer, "k bigint, kind string, fine boolean").alias("x"))
+    return rows.select("event_id", "x.k", "x.kind", "x.fine")
+
+
+def _markdown(spark, d) -> DataFrame:
+    """Parts as Markdown: two headings, a list, a table and a fence."""
+    lines = ["# ", "p_brand", "\n\n", "p_name", "\n\n## ", "p_type", "\n\n- ", "p_name", "\n- last\n| a | b |\n| 1 | 2 |\n```\n# code\n\n```\n# End\n\n"]
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(*[F.col(x) if x.startswith("p_") else F.lit(x) for x in lines]).alias("text"))
+
+
+MARKED = "E'- ' || p_name || E'\\n- last', E'| a | b |\\n| 1 | 2 |', E'```\\n# code\\n\\n```'"
+
+
+@query(f"SELECT p_partkey AS doc_id, 0::INTEGER AS part, p_brand AS path, p_name AS body FROM part UNION ALL SELECT p_partkey, 1, p_brand || ' > ' || p_type, concat_ws(E'\n', {MARKED}) FROM part".replace("\\n", "\n"))
+def md_sections(spark, d) -> DataFrame:
+    return documents.sections(_markdown(spark, d))
+
+
+@query(f"SELECT p_partkey AS doc_id, unnest(range(7))::INTEGER AS part, unnest(['# ' || p_brand, p_name, '## ' || p_type, {MARKED}, '# End']) AS body FROM part".replace("\\n", "\n"))
+def md_blocks(spark, d) -> DataFrame:
+    return documents.blocks(_markdown(spark, d))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS n_chars, true AS whole, true AS fits FROM documents WHERE length(text) > 0 AND regexp_matches(text, '\\S')")
+def split_content(spark, d) -> DataFrame:
+    """Every whole text in parts of at most 300 characters; that none is longer, and that no character but separators is lost."""
+    docs = table(spark, d, "documents")
+    found = documents.split_content(docs, 300).groupBy("doc_id").agg(F.max(F.length("body")).alias("longest"), F.sum(F.length(F.regexp_replace("body", r"[ \n]", ""))).alias("n"))
+    rows = docs.join(found, "doc_id")
+    whole = F.length(F.regexp_replace("text", r"[ \n]", "")) == F.col("n")
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), whole.alias("whole"), (F.col("longest") <= 300).alias("fits"))
+
+
+@query("SELECT s_suppkey, '[\"e' || s_suppkey || '\"]' || chr(10) || '[\"r\"]' AS graph, '[\"c' || s_suppkey || '\"]' || chr(10) || '[\"s\"]' AS texts FROM supplier")
+def context_filter(spark, d) -> DataFrame:
+    """The sections of a context that each way of a question reads."""
+    key = F.col("s_suppkey").cast("string")
+    context = rag.context_text(F.array(F.concat(F.lit("e"), key)), F.array(F.lit("r")), F.array(F.concat(F.lit("c"), key)), F.array(F.lit("s")))
+    kept = lambda way: reasoning.kept(context, F.lit(way))
+    return table(spark, d, "supplier").select("s_suppkey", kept("relational").alias("graph"), kept("semantic").alias("texts"))

@@ -161,13 +161,13 @@ def scan_csv(spark, d) -> DataFrame:
     return files.read_rows(spark, path, "doc_id bigint, lang string, source string, text string")
 
 
-@query("SELECT event_id, user_id, event_type AS kind, CAST(json_extract(props, '$.n') AS BIGINT) AS n FROM events")
+@query("SELECT event_id, user_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def sink_rows(spark, d) -> DataFrame:
     """Rows with a JSON cell, written as CSV and read back with the cell parsed."""
     path = _folder(spark, "cells") + ".csv"
-    rows = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("kind"), F.from_json("props", "n bigint").alias("props"))
+    rows = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("kind"), F.from_json("props", "k bigint").alias("props"))
     files.write_rows(rows, path)
-    return files.read_rows(spark, path, "event_id bigint, user_id bigint, kind string, props string", {"props": "n bigint"}).select("event_id", "user_id", "kind", "props.n")
+    return files.read_rows(spark, path, "event_id bigint, user_id bigint, kind string, props string", {"props": "k bigint"}).select("event_id", "user_id", "kind", "props.k")
 
 
 @query("SELECT event_id, event_type, props FROM events")
