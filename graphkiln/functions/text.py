@@ -172,3 +172,16 @@ def uuid5(name: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") ->
     d = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.coalesce(name, F.lit("")).cast("binary")))
     variant = F.lower(F.hex((F.conv(F.substring(d, 17, 1), 16, 10).cast("int").bitwiseAND(3)) + 8))
     return F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.concat(F.lit("5"), F.substring(d, 14, 3)), F.concat(variant, F.substring(d, 18, 3)), F.substring(d, 21, 12))
+
+
+#: Fixed value: the URL namespace of name-based ids (RFC 9562).
+URLS = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = URLS) -> Column:
+    """The name-based id (version 5) of a text; null for null."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("string").cast("binary")))
+    # Version 5 in the 13th digit; the two highest bits of the 17th are 10.
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    made = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.when(h.isNotNull(), made)

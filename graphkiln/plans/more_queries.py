@@ -41,10 +41,14 @@ def scan_existing_entities(spark, d) -> DataFrame:
     return table(spark, d, "customer").join(asked, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT vec_id, label, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")
+@query("""WITH h AS (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || ('vec_' || vec_id)::BLOB) AS h FROM embeddings)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, label, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN vec_id % 4 = 0 THEN list_reverse(embedding) ELSE embedding END AS vector FROM h""")
 def sink_embeddings_upsert(spark, d) -> DataFrame:
-    old = table(spark, d, "embeddings").select("vec_id", "label", F.lit(1).alias("version"))
-    return graph.upsert_nodes(old, old.filter("vec_id % 4 = 0").withColumn("version", F.lit(2)), "vec_id")
+    """A store of vectors under name-based ids, into which new vectors of some are merged by id."""
+    rows = table(spark, d, "embeddings").withColumn("id", t.uuid5(F.concat(F.lit("vec_"), F.col("vec_id").cast("string"))))
+    old = rows.select("id", "label", F.lit(1).alias("version"), F.col("embedding").alias("vector"))
+    new = rows.filter("vec_id % 4 = 0").select("id", "label", F.lit(2).alias("version"), F.reverse("embedding").alias("vector"))
+    return graph.upsert_nodes(old, new)
 
 
 @query(None)
@@ -57,12 +61,14 @@ def sink_chunks(spark, d) -> DataFrame:
     return graph.upsert_nodes(rows.limit(0).withColumn("version", F.lit(0)), rows.withColumn("version", F.lit(1)), "chunk_id").join(vector, "chunk_id", "left")
 
 
-@query("SELECT event_id, event_type AS name, ['n', 'tags'] AS kept FROM events WHERE props <> ''")
+@query("SELECT event_id, event_type AS name, json_extract_string(props, '$.k') AS k, CASE WHEN event_type = 'error' THEN ['k', 'tags'] ELSE ['k', 'nested', 'tags'] END AS kept FROM events WHERE props <> ''")
 def clean_properties(spark, d) -> DataFrame:
     """Scalars and lists of scalars stay; maps and the embedding go."""
-    props = F.map_from_arrays(F.array(*[F.lit(x) for x in ("embedding", "n", "nested", "tags")]), F.array(F.lit("[0.1]"), F.lit("1"), F.lit('{"a": 1}'), F.lit('["x"]')))
-    kept = F.map_filter(props, lambda k, v: (k != "embedding") & ~v.startswith("{"))
-    return table(spark, d, "events").filter("props <> ''").select("event_id", F.col("event_type").alias("name"), F.array_sort(F.map_keys(kept)).alias("kept"))
+    nested = F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.col("event_type"))
+    more = F.map_from_arrays(F.array(*[F.lit(x) for x in ("embedding", "nested", "tags")]), F.array(F.lit("[0.1]"), nested, F.lit('["x"]')))
+    kept = F.map_filter(F.map_concat(F.from_json("props", "map<string,string>"), more), lambda k, v: (k != "embedding") & ~v.startswith("{"))
+    rows = table(spark, d, "events").filter("props <> ''").select("event_id", F.col("event_type").alias("name"), kept.alias("m"))
+    return rows.select("event_id", "name", F.try_element_at("m", F.lit("k")).alias("k"), F.array_sort(F.map_keys("m")).alias("kept"))
 
 
 @query("SELECT p_partkey, p_name AS name, p_brand || ' ' || p_type AS description FROM part")

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from graphkiln.functions import text as t
 from graphkiln.operators import reasoning
 
 
@@ -78,3 +81,9 @@ def test_embed_renamed(spark):
     renamed = spark.createDataFrame([(2, "bb"), (2, "aaa"), (9, "c")], "id long, name string")
     made = reasoning.embed_renamed(store, renamed, "id", lambda df: df.select("id", F.array(F.length("name").cast("double")).alias("vector")))
     assert {r.id: r.vector for r in made.collect()} == {1: [1.0], 2: [2.0]}
+
+
+def test_uuid5(spark):
+    names = ["", "vec_1", "Đại học", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", t.uuid5(F.col("n")).alias("id")).collect()
+    assert {r.n: r.id for r in rows} == {n: None if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names}
