@@ -121,6 +121,43 @@ def keywords(question: Column, most: int = 16) -> Column:
     return F.slice(t.distinct_by(F.filter(F.concat(acronyms, quoted, *groups), lambda x: F.length(x) > 1)), 1, most)
 
 
+#: Words that no keyword starts or ends with.
+STOPWORDS = "ai bao bi bị boi bởi cai cái cac các cho cua của de duoc được em hoi hỏi khi la là nao nào o ở tai tại thi thì toi tôi trong va và ve về".split()
+#: Fixed value: what a keyword is: an address, a run of capitalised words, a word.
+KEYWORD = r"(?U)https?://\S+|[A-ZÀ-ỴĐ][\wÀ-ỹĐđ]*(?:\s+[A-ZÀ-ỴĐ0-9][\wÀ-ỹĐđ]*)+|[\wÀ-ỹĐđ]+"
+
+
+def fallback_keywords(question: Column) -> Column:
+    """struct(phrases, words, more) without a model: addresses and capitalised runs, single words, the addresses' hosts.
+
+    Stop words at their ends go; each is listed once without case, in the first list that has it. Words need three characters
+    or a digit. Without phrases and words, the question itself is the word; null is empty.
+    """
+    q = F.coalesce(question, F.lit(""))
+    stop = "|".join(STOPWORDS)
+
+    def cleaned(x: Column) -> Column:
+        x = t.collapse(F.regexp_replace(x, r"^[ .,;:!?()\[\]{}\"'`]+|[ .,;:!?()\[\]{}\"'`]+$", ""))
+        x = F.regexp_replace(x, rf"(?iU)^(?:(?:{stop})(?: |$))+", "")
+        return F.regexp_replace(x, rf"(?iU)(?:(?:^| )(?:{stop}))+$", "")
+
+    def entry(kind: str, x: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), cleaned(x).alias("value"))
+
+    def entries(m: Column) -> Column:
+        url = m.startswith("http") & m.contains("://")
+        host = F.regexp_extract(m, r"^https?://([^/?#]*)", 1)
+        word = (F.length(m) > 2) | m.rlike(r"(?U)\d")
+        none = F.filter(F.array(entry("words", m)), lambda _: F.lit(False))
+        return F.when(url, F.array(entry("phrases", F.regexp_replace(m, r"[/.,;]+$", "")), entry("more", host))).when(m.rlike(r"\s"), F.array(entry("phrases", m))).when(word, F.array(entry("words", m))).otherwise(none)
+
+    long = lambda rows: t.distinct_by(F.filter(rows, lambda e: F.length(e["value"]) > 1), lambda e: F.lower(e["value"]))
+    found = long(F.flatten(F.transform(F.regexp_extract_all(q, F.lit(KEYWORD), F.lit(0)), entries)))
+    found = F.when(F.exists(found, lambda e: e["kind"] != "more"), found).otherwise(long(F.concat(found, F.array(entry("words", q)))))
+    of = lambda kind: F.transform(F.filter(found, lambda e: e["kind"] == kind), lambda e: e["value"]).alias(kind)
+    return F.struct(of("phrases"), of("words"), of("more"))
+
+
 def merge_keywords(groups: list[Column], most: int) -> Column:
     """Groups in order of precedence, variants added, distinct without case, at most ``most``."""
     every = F.flatten(F.transform(F.flatten(F.array(*groups)), lambda x: t.identifier_variants(x)))

@@ -139,3 +139,12 @@ def context_filter(spark, d) -> DataFrame:
     context = rag.context_text(F.array(F.concat(F.lit("e"), key)), F.array(F.lit("r")), F.array(F.concat(F.lit("c"), key)), F.array(F.lit("s")))
     kept = lambda way: reasoning.kept(context, F.lit(way))
     return table(spark, d, "supplier").select("s_suppkey", kept("relational").alias("graph"), kept("semantic").alias("texts"))
+
+
+@query("SELECT p_partkey, ['https://shop.example/p' || p_partkey, 'Nation ' || p_partkey] AS phrases, list_distinct(string_split(p_name, ' ')).list_sort() AS words, ['shop.example'] AS more FROM part")
+def fallback_keywords(spark, d) -> DataFrame:
+    """Keywords without a model; stop words, short words and repeats go."""
+    key = F.col("p_partkey").cast("string")
+    asked = F.concat(F.lit("Cho tôi: https://shop.example/p"), key, F.lit("/ của Nation "), key, F.lit(" và "), "p_name", F.lit(", NATION "), key, F.lit(" x là "), "p_name")
+    rows = table(spark, d, "part").select("p_partkey", rag.fallback_keywords(asked).alias("x"))
+    return rows.select("p_partkey", "x.phrases", F.array_sort("x.words").alias("words"), "x.more")

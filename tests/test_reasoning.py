@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from graphkiln.functions import text as t
-from graphkiln.operators import reasoning
+from graphkiln.operators import rag, reasoning
 
 
 def test_listed():
@@ -87,3 +87,16 @@ def test_uuid5(spark):
     names = ["", "vec_1", "Đại học", None]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", t.uuid5(F.col("n")).alias("id")).collect()
     assert {r.n: r.id for r in rows} == {n: None if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names}
+
+
+def test_fallback_keywords(spark):
+    asked = ["Hồ Chí Minh ở đâu", "là gì", "của", None, "", "b2 ab Ab cde CDE", "Cho Mai Lan", 'hỏi "http://a.b/c?x=1," và http://a.b']
+    rows = spark.createDataFrame([(k, q) for k, q in enumerate(asked)], "k int, q string")
+    found = {r.k: (r.x.phrases, r.x.words, r.x.more) for r in rows.select("k", rag.fallback_keywords(F.col("q")).alias("x")).collect()}
+    # The pattern's range of capitals holds accented small letters as well.
+    assert found[0] == (["Hồ Chí Minh ở đâu"], [], [])
+    assert found[1] == ([], ["gì"], [])
+    assert found[2] == found[3] == found[4] == ([], [], [])
+    assert found[5] == ([], ["b2", "cde"], [])
+    assert found[6] == (["Mai Lan"], [], [])
+    assert found[7][0][0].startswith("http://a.b/c?x=1") and found[7][2] == ["a.b"]
