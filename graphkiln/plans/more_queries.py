@@ -83,18 +83,6 @@ def cluster_items(spark, d) -> DataFrame:
     return joined.groupBy(F.col("n_nationkey").alias("cluster")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("members"), F.count("s_suppkey").alias("n")).filter("n > 0")
 
 
-@query("SELECT user_id, arg_min(event_type, event_id) AS kept, list_sort(list(DISTINCT event_type)) AS aliases FROM events GROUP BY user_id")
-def merge_entity_props(spark, d) -> DataFrame:
-    """Of conflicting scalars the canonical (first) one stays; lists are united."""
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("kept"), F.array_sort(F.collect_set("event_type")).alias("aliases"))
-
-
-@query("SELECT user_id, CASE WHEN count(DISTINCT event_type) > 1 THEN list_sort(list(DISTINCT event_type)) ELSE [min(event_type)] END AS promoted FROM events GROUP BY user_id")
-def merge_rule_based_incr(spark, d) -> DataFrame:
-    """A scalar that meets a list becomes part of the list."""
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("promoted"))
-
-
 @query("SELECT label, CASE WHEN avg_sim >= 0.01 THEN 'person' ELSE 'split' END AS decision FROM (SELECT a.label, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS avg_sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label)")
 def resolve_cluster(spark, d) -> DataFrame:
     """A cluster that is alike enough is merged, else split."""

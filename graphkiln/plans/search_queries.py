@@ -119,13 +119,6 @@ def merge_rule_based(spark, d) -> DataFrame:
     return r.groupBy("id").agg(resolution.longest("event_type", "pos").alias("value"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
 
 
-@query("SELECT user_id AS id, arg_min(event_type, event_id) AS kept, arg_min(nullif(trim(props), ''), event_id) FILTER (nullif(trim(props), '') IS NOT NULL) AS filled, list_sort(list(DISTINCT event_type)) AS united FROM events GROUP BY user_id")
-def merge_properties(spark, d) -> DataFrame:
-    """The first of conflicting scalars stays, blanks are filled by the first that isn't, lists are united."""
-    given = F.nullif(F.trim("props"), F.lit(""))
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min_by("event_type", "event_id").alias("kept"), F.min_by(given, F.when(given.isNotNull(), F.col("event_id"))).alias("filled"), F.array_sort(F.collect_set("event_type")).alias("united"))
-
-
 @query(f"{RECORDS} SELECT id, list_sort(list(DISTINCT 'f' || f)) AS lineage FROM r GROUP BY id HAVING count(*) > 1")
 def backfill_lineage(spark, d) -> DataFrame:
     merged = _records(spark, d).groupBy("id").agg(F.array_sort(F.collect_set("source_file")).alias("lineage"), F.count("*").alias("n")).filter("n > 1")
