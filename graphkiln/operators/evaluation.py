@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphkiln.functions.cut import cut
+from graphkiln.functions.ship import ship
+
+#: A metric of an answer: (question, answer, contexts, reference) to a number; None, NaN or an exception is no value.
+Metric = Callable[[str, str, list[str], str], float | None]
+#: Metrics that compare with a reference.
+WITH_REFERENCE = ("answer_correctness", "context_precision", "context_recall")
 
 #: Fixed value: the normal quantile of a 95 % interval.
 Z = 1.959963984540054
@@ -57,6 +66,44 @@ def classify_scores(metrics: list[str]) -> Column:
     return F.when(n == len(metrics), "scored").when(n > 0, "partial").otherwise("error")
 
 
+def score_answers(rows: DataFrame, metrics: dict[str, Metric], done: DataFrame | None = None) -> DataFrame:
+    """(id, one column a metric, status, error, valid, invalid): every answer scored once; rows of ``done`` (the same columns) stay as they are.
+
+    rows: id (unique), status, error, question, answer, contexts (array), reference; null status is "ok". Failed rows and rows that lack
+    what a metric needs are skipped; without a value of any metric the status is "error", of some "partial", else "scored".
+    """
+    ship(rows.sparkSession)
+    if done is not None:
+        rows = rows.join(done.select("id"), "id", "left_anti")
+    names = list(metrics)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    contexts = F.filter(F.transform(F.coalesce("contexts", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    reason = F.when(F.coalesce("status", F.lit("ok")) != "ok", F.coalesce(F.nullif("error", F.lit("")), F.lit("generation row failed")))
+    reason = reason.when(blank("answer"), "missing answer").when(F.size(contexts) == 0, "missing contexts")
+    if set(names) & set(WITH_REFERENCE):
+        reason = reason.when(blank("reference"), "missing reference")
+
+    def value(metric: Metric, *given) -> float | None:
+        try:
+            return metric(*given)
+        except Exception:  # noqa: BLE001  a failed metric has no value
+            return None
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def run(question: pd.Series, answer: pd.Series, found: pd.Series, reference: pd.Series, skip: pd.Series) -> pd.DataFrame:
+        given = [(q or "", a or "", list(c), r or "") for q, a, c, r in zip(question, answer, found, reference, strict=True)]
+        return pd.DataFrame({n: pd.array([None if s else value(m, *g) for g, s in zip(given, skip, strict=True)], dtype="Float64") for n, m in metrics.items()})
+
+    rows = rows.select("id", reason.alias("_skip"), run.asNondeterministic()("question", "answer", contexts, "reference", reason.isNotNull()).alias("_m"))
+    rows = rows.select("id", "_skip", *[number(F.col(f"_m.{n}")).alias(n) for n in names])
+    having = lambda good: F.filter(F.array(*[F.when(F.col(n).isNotNull() if good else F.col(n).isNull(), n) for n in names]), lambda x: x.isNotNull())
+    skipped, none = F.col("_skip").isNotNull(), F.array().cast("array<string>")
+    state = F.when(skipped, "skipped").otherwise(classify_scores(names))
+    why = F.when(skipped, F.col("_skip")).when(F.size(having(True)) == 0, "no valid metric values returned").when(F.size(having(False)) > 0, F.concat(F.lit("invalid metrics: "), F.array_join(having(False), ", ")))
+    out = rows.select("id", *names, state.alias("status"), why.alias("error"), F.when(skipped, none).otherwise(having(True)).alias("valid"), F.when(skipped, none).otherwise(having(False)).alias("invalid"))
+    return out if done is None else done.select(*out.columns).unionByName(out)
+
+
 def stratified_sample(df: DataFrame, by: str, order: Column, n: int) -> DataFrame:
     rank = Window.partitionBy(by).orderBy(order)
     return df.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= n).drop("_r")
