@@ -104,6 +104,18 @@ def score_answers(rows: DataFrame, metrics: dict[str, Metric], done: DataFrame |
     return out if done is None else done.select(*out.columns).unionByName(out)
 
 
+def shared_keyphrases(similar: DataFrame, phrases: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared): for similar pairs without a link in ``known``, in either order, the sorted keyphrases of both, if any.
+
+    similar, known: a, b; phrases: id, keyphrases. A pair that is there in both orders counts once, with a < b.
+    """
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = ordered(similar)
+    pairs = pairs if known is None else pairs.join(ordered(known), ["a", "b"], "left_anti")
+    pairs = pairs.join(phrases.toDF("a", "_x"), "a").join(phrases.toDF("b", "_y"), "b")
+    return pairs.select("a", "b", F.array_sort(F.array_intersect("_x", "_y")).alias("shared")).filter(F.size("shared") > 0)
+
+
 def stratified_sample(df: DataFrame, by: str, order: Column, n: int) -> DataFrame:
     rank = Window.partitionBy(by).orderBy(order)
     return df.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= n).drop("_r")

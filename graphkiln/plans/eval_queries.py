@@ -215,13 +215,6 @@ def citation_check(spark, d) -> DataFrame:
     return cited.select("user_id", "cited", F.size(F.array_intersect("cited", known)).cast("long").alias("n_valid"), F.size(F.array_except("cited", known)).cast("long").alias("n_invalid"))
 
 
-@query("WITH k AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS s FROM events GROUP BY user_id) SELECT a.user_id AS a, b.user_id AS b, len(list_intersect(a.s, b.s))::INTEGER AS n_shared FROM k a JOIN k b ON b.user_id = a.user_id + 1 WHERE len(list_intersect(a.s, b.s)) > 0")
-def keyphrase_overlap(spark, d) -> DataFrame:
-    sets = table(spark, d, "events").groupBy(F.col("user_id").alias("a")).agg(F.collect_set("event_type").alias("s"))
-    other = sets.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("s").alias("t"))
-    return sets.join(other, "a").select("a", "b", F.size(F.array_intersect("s", "t")).alias("n_shared")).filter("n_shared > 0")
-
-
 @query("SELECT conv_id, turn, i AS rel, (turn % 2 = 0 AND i < 2) AS kept FROM conversations, (SELECT unnest([0, 1, 2]) AS i) WHERE (turn % 2 = 0 AND i < 2) OR turn % 2 = 1")
 def context_extract(spark, d) -> DataFrame:
     """Evidence of the initial stage if there is any, else all of it."""

@@ -100,15 +100,6 @@ def validate_person(spark, d) -> DataFrame:
     return counts.join(resolution.pair_checks(pairs).select("cluster", "person_ok"), "cluster")
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(1 - 1.0::DOUBLE * (CASE WHEN length(a.n_name) = length(b.n_name) THEN 2 ELSE 1 END) / (length(a.n_name) + length(b.n_name)), 2) AS sim FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE length(a.n_name) = 8 AND length(b.n_name) = 8")
-def name_similarity(spark, d) -> DataFrame:
-    ship(spark)
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"))
-    other = n.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
-    pairs = n.join(other, "a").filter("length(x) = 8 AND length(y) = 8")
-    return pairs.select("a", "b", resolution.name_similarity("x", "y").alias("sim"))
-
-
 @query("SELECT event_id, event_type AS label, event_type <> 'error' AS valid FROM events")
 def judge_triplet(spark, d) -> DataFrame:
     """A judge's JSON answers parsed and checked."""

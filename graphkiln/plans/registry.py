@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphkiln.plans import doc_queries, eval_queries, graph_queries, more_queries, property_queries, reasoning_queries, search_queries, step_queries, text_queries, vector_queries
+from graphkiln.plans import doc_queries, eval_queries, graph_queries, more_queries, property_queries, reasoning_queries, run_queries, search_queries, step_queries, text_queries, vector_queries
 
-MODULES = (graph_queries, search_queries, text_queries, vector_queries, eval_queries, doc_queries, more_queries, step_queries, reasoning_queries, property_queries)
+MODULES = (graph_queries, search_queries, text_queries, vector_queries, eval_queries, doc_queries, more_queries, step_queries, reasoning_queries, property_queries, run_queries)
 
 
 def queries() -> dict:

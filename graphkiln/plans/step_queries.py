@@ -41,6 +41,11 @@ def _nations(spark, d) -> DataFrame:
     return table(spark, d, "nation").select(F.col("n_regionkey").alias("cluster"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.array().cast("array<string>").alias("aliases"))
 
 
+@query(f"WITH {NAMES} SELECT cluster, a, b, sim AS name_sim FROM s")
+def name_similarity(spark, d) -> DataFrame:
+    return steps.similar_names(_nations(spark, d), 0.0).select("cluster", "a", "b", "name_sim")
+
+
 @query(f"WITH {NAMES} SELECT cluster, a, b, sim AS name_sim FROM s WHERE sim >= 0.9")
 def name_pairs(spark, d) -> DataFrame:
     return steps.similar_names(_nations(spark, d), 0.9).select("cluster", "a", "b", "name_sim")
