@@ -125,18 +125,55 @@ def backfill_lineage(spark, d) -> DataFrame:
     return merged.select("id", "lineage")
 
 
-@query(None)
+LOOK = "length(regexp_replace({x}, '[^\\p{{Lu}}]', '', 'g')) AS u, length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g')) AS l"
+TOKENS = "list_filter(regexp_extract_all({x}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda x: length(x) > 1)"
+SHORT = "CASE WHEN length({x}) <= 3 THEN 4.0 WHEN {n} = 1 AND {x} = upper({x}) AND {x} <> lower({x}) AND length({x}) <= 6 THEN 3.0 WHEN {n} <= 2 AND length({x}) <= 8 THEN 1.5 ELSE 0.0 END::DOUBLE"
+LONG = "(CASE WHEN length({x}) > 90 THEN 3.0 WHEN length({x}) > 65 THEN 1.5 ELSE 0.0 END + CASE WHEN {n} > 12 THEN 2.0 WHEN {n} > 9 THEN 1.0 ELSE 0.0 END + CASE WHEN length(regexp_replace({x}, '[^,;:.]', '', 'g')) >= 2 THEN 1.0 ELSE 0.0 END + CASE WHEN regexp_matches({x}, '(?i)\\b(refers|same|under|located|based)\\b') THEN 2.0 ELSE 0.0 END)::DOUBLE"
+
+
+@query(f"""WITH n AS (SELECT p_brand AS id, unnest([p_name, p_type, p_brand]) AS text FROM part), k AS (SELECT *, lower(text) AS form, {LOOK.format(x="text")} FROM n WHERE text <> ''),
+f AS (SELECT id, form, count(*) AS uses, max(ROW(u, l, -length(text), text)) AS best, arg_max(text, ROW(u, l, -length(text), text)) AS text, max(ROW(u, l, -length(text))) AS look FROM k GROUP BY id, form),
+t AS (SELECT *, list_distinct({TOKENS.format(x="form")}) AS w FROM f), g AS (SELECT a.id, a.form, a.w AS x, b.w AS y, len(list_intersect(a.w, b.w)) AS shared FROM t a JOIN t b ON a.id = b.id AND a.form <> b.form WHERE len(a.w) > 0 AND len(b.w) > 0),
+h AS (SELECT id, form, least(3.0, sum(CASE WHEN shared = len(x) AND len(y) > len(x) THEN 1.5 WHEN shared = len(y) THEN 0.5 ELSE shared / len(y)::DOUBLE * 0.25 END))::DOUBLE AS fit FROM g GROUP BY id, form),
+s AS (SELECT t.id, t.text, t.look, t.uses * 2.0::DOUBLE + coalesce(h.fit, 0) - {SHORT.format(x="t.text", n="len(t.w)")} - {LONG.format(x="t.text", n="len(t.w)")} AS score FROM t LEFT JOIN h USING (id, form))
+SELECT id, arg_max(text, ROW(score, -abs(length(text) - 35), -length(text), look, text)) AS name FROM s GROUP BY id""")
 def canonical_name(spark, d) -> DataFrame:
     uses = table(spark, d, "part").select(F.col("p_brand").alias("id"), F.explode(F.array("p_name", "p_type", "p_brand")).alias("name"))
     return resolution.canonical_names(uses)
 
 
-@query(None)
+@query("""WITH RECURSIVE m AS (SELECT label AS cluster, vec_id AS id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 4 = 0 THEN 'kind' ELSE 'kind ' || vec_id % 4 END AS name, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+n AS (SELECT b.cluster, b.id, b.r, list(a.id ORDER BY a.id) FILTER (a.id IS NOT NULL) AS near FROM m b LEFT JOIN m a ON a.cluster = b.cluster AND a.r < b.r AND list_cosine_similarity(a.e, b.e) >= 0.30 AND (contains(a.name, b.name) OR contains(b.name, a.name)) GROUP BY ALL),
+w(cluster, r, seeds) AS (SELECT DISTINCT cluster, 0::BIGINT, []::BIGINT[] FROM m UNION ALL SELECT w.cluster, n.r, CASE WHEN list_has_any(coalesce(n.near, []), w.seeds) THEN w.seeds ELSE list_append(w.seeds, n.id) END FROM w JOIN n ON n.cluster = w.cluster AND n.r = w.r + 1),
+z AS (SELECT cluster, arg_max(seeds, r) AS seeds FROM w GROUP BY cluster)
+SELECT n.cluster, n.id AS node_id, coalesce(list_min(list_intersect(n.near, z.seeds)), n.id) AS seed FROM n JOIN z USING (cluster)""")
 def conservative_merge(spark, d) -> DataFrame:
-    members = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("pos"), F.col("vec_id").alias("node_id"), F.array(F.lit("same")).alias("names"), F.col("embedding").alias("vector"))
+    """A name like "kind 1" holds only itself and "kind", which all names hold."""
+    k = (F.col("vec_id") % 4).cast("string")
+    names = F.array(F.when(k == "0", "Kind").otherwise(F.concat(F.lit(" kind "), k)))
+    members = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("pos"), F.col("vec_id").alias("node_id"), names.alias("names"), F.col("embedding").alias("vector"))
     return resolution.conservative_groups(members, 0.30)
 
 
+@query(f"""WITH n AS (SELECT item_id, trim(regexp_replace(text, '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS x FROM benchmark), k AS (SELECT *, replace(lower(x), 'ß', 'ss') AS name_key FROM n)
+SELECT item_id, name_key, {TOKENS.format(x="name_key")} AS tokens, {LOOK.format(x="x")}, length(x)::BIGINT AS size FROM k""")
+def name_key(spark, d) -> DataFrame:
+    """Key, tokens and display quality (capitals, letters, length) of names; long ones are whole texts here."""
+    x = t.collapse(F.col("text"))
+    count = lambda kind: F.length(F.regexp_replace(x, f"[^\\p{{{kind}}}]", "")).cast("long")
+    return table(spark, d, "benchmark").select("item_id", t.name_key(x).alias("name_key"), t.name_tokens(x).alias("tokens"), count("Lu").alias("u"), count("L").alias("l"), F.length(x).cast("long").alias("size"))
+
+
+@query(f"""WITH n AS (SELECT 'text' AS kind, item_id AS id, trim(regexp_replace(text, '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS x FROM benchmark UNION ALL SELECT 'type', p_partkey, p_type FROM part UNION ALL SELECT 'brand', p_partkey, left(p_type, 3) FROM part), w AS (SELECT *, len({TOKENS.format(x="replace(lower(x), 'ß', 'ss')")}) AS n FROM n)
+SELECT kind, id, {SHORT.format(x="x", n="n")} AS short, {LONG.format(x="x", n="n")} AS long FROM w""")
+def name_penalties(spark, d) -> DataFrame:
+    parts = table(spark, d, "part")
+    rows = table(spark, d, "benchmark").select(F.lit("text").alias("kind"), F.col("item_id").alias("id"), t.collapse(F.col("text")).alias("x"))
+    rows = rows.unionAll(parts.select(F.lit("type"), "p_partkey", "p_type")).unionAll(parts.select(F.lit("brand"), "p_partkey", F.left("p_type", F.lit(3))))
+    n = F.size(t.name_tokens(F.col("x")))
+    return rows.select("kind", "id", resolution.short_penalty(F.col("x"), n).alias("short"), resolution.long_penalty(F.col("x"), n).alias("long"))
+
+
 @query("SELECT label AS cluster, CASE WHEN vec_id % 3 = 0 THEN 'single_' || vec_id ELSE (vec_id % 2)::VARCHAR END AS grp, vec_id AS node_id FROM embeddings")
 def partition_repair(spark, d) -> DataFrame:
     base = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("node_id"))
