@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphkiln.functions.cut import shared_folder
-from graphkiln.operators import evaluation, vectors
+from graphkiln.operators import evaluation, reports, vectors
 from graphkiln.operators.runs import Runs
-from graphkiln.plans.vector_queries import PAIRS, THRESHOLD
+from graphkiln.plans.vector_queries import LINKS, PAIRS, THRESHOLD
 from graphkiln.sources import star, web
 from graphkiln.sources.star import table
 
@@ -121,3 +121,23 @@ def keyphrase_overlap(spark, d) -> DataFrame:
     sources = docs.select("a", "source")
     known = similar.join(sources, "a").join(sources.toDF("b", "other"), "b").filter("source <=> other").select("a", "b")
     return evaluation.shared_keyphrases(similar, docs.select(F.col("a").alias("id"), "keyphrases"), known)
+
+
+@query(f"""{LINKS}, x AS (SELECT asg.cluster_id, asg.id, d.source AS name, d.lang AS label, row_number() OVER (PARTITION BY asg.cluster_id ORDER BY coalesce(d.source, ''), asg.id) AS k FROM asg LEFT JOIN documents d ON d.doc_id = asg.id WHERE asg.cluster_id <> 'noise')
+SELECT cluster_id, count(*) AS size, count(DISTINCT label) AS n_labels, list(id ORDER BY k) FILTER (k <= 3) AS members FROM x GROUP BY cluster_id""")
+def cluster_review(spark, d) -> DataFrame:
+    vecs = table(spark, d, "embeddings")
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("lang").alias("label"))
+    nodes = vecs.select(F.col("vec_id").alias("id"), F.col("label").alias("block"))
+    pairs = vectors.threshold_pairs(vecs, "vec_id", "embedding", "label", THRESHOLD)
+    labelled = vectors.components(pairs.select("a", "b"), nodes.select("id")).join(nodes, "id")
+    return reports.cluster_review(vectors.number_clusters(labelled), items, 3)
+
+
+@query("SELECT conv_id AS id, min(q) AS question, list_sort(list(role || ': ' || status || ': ' || n)) AS answers FROM (SELECT conv_id, coalesce(role, 'none') AS role, min(text) AS q, CASE WHEN count(*) > 1 THEN 'ok' ELSE 'short' END AS status, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def answer_review(spark, d) -> DataFrame:
+    """Conversations as questions, their roles as modes, the number of messages as answers."""
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id"), F.coalesce("role", F.lit("none")).alias("mode")).agg(F.min("text").alias("question"), F.count("*").alias("n"))
+    rows = rows.select("id", "mode", "question", F.when(F.col("n") > 1, "ok").otherwise("short").alias("status"), F.col("n").cast("string").alias("answer"))
+    made = reports.answer_review(rows)
+    return made.withColumn("answers", F.transform("answers", lambda x: F.concat_ws(": ", x["mode"], x["status"], x["answer"])))

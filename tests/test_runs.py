@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from graphkiln.operators import evaluation
+from graphkiln.operators import evaluation, reports
 from graphkiln.operators.runs import Busy, Runs, StreamEvents
 from graphkiln.sources import web
 
@@ -119,3 +119,14 @@ def test_posts(spark):
     assert ends([(1, 200, None, body(post(1))), (2, 500, None, "x"), (3, 200, None, body(post(3)))]) == [1]
     assert ends([(k, 200, None, body(post(k))) for k in (1, 2, 3)], max_pages=2) == [1, 2]
     assert ends([(1, 200, None, "{broken")]) == []
+
+
+def test_reports(spark):
+    assigned = spark.createDataFrame([("c0", k) for k in range(5)] + [("noise", 9)], "cluster_id string, id long")
+    items = spark.createDataFrame([(0, "b", "x"), (1, "a", "y"), (2, None, "x")], "id long, name string, label string")
+    assert [tuple(r) for r in reports.cluster_review(assigned, items, 3).collect()] == [("c0", 5, 2, [2, 3, 4])]
+    scores = spark.createDataFrame([(0.6,), (0.4,), (0.3,), (None,)], "s double")
+    assert [r.g for r in scores.select(reports.grade(F.col("s")).alias("g")).collect()] == ["good", "acceptable", "poor", "unknown"]
+    rows = [(1, "q", "direct", "b", "ok"), (1, "q", "direct", "a", "ok"), (1, "q", "hybrid", None, "error")]
+    out = reports.answer_review(spark.createDataFrame(rows, "id long, question string, mode string, answer string, status string")).collect()
+    assert [(r.id, r.question, [tuple(a) for a in r.answers]) for r in out] == [(1, "q", [("direct", "ok", "a"), ("hybrid", "error", None)])]
