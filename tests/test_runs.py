@@ -52,7 +52,9 @@ def test_one_at_a_time_and_cancel(spark, tmp_path):
 
     thread = threading.Thread(target=work)
     thread.start()
-    while runs.active() != "r":
+    for _ in range(300):
+        if runs.active() == "r":
+            break
         time.sleep(0.1)
     time.sleep(3)
     with pytest.raises(Busy):
