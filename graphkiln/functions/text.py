@@ -98,10 +98,17 @@ def embedding_text(name: Column, labels: Column) -> Column:
     return F.when(primary_type(labels) == "PERSON", person_name(name)).otherwise(collapse(F.coalesce(name, F.lit(""))))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_by(items: Column, key=F.lower) -> Column:
-    """The first of the items that share a key, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """The first of the items that share a key, in order; those with a null key go. Each key is computed once, and equal ones meet by sorting."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
+    first = lambda rows: F.filter(rows, lambda e, i: e["key"].isNotNull() & ~F.get(rows, i - 1)["key"].eqNullSafe(e["key"]))
+    kept = F.sort_array(F.transform(let(keyed, first), lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+    return F.transform(kept, lambda e: e["x"])
 
 
 def aliases(items: Column) -> Column:

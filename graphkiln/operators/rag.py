@@ -148,14 +148,14 @@ def fallback_keywords(question: Column) -> Column:
         url = m.startswith("http") & m.contains("://")
         host = F.regexp_extract(m, r"^https?://([^/?#]*)", 1)
         word = (F.length(m) > 2) | m.rlike(r"(?U)\d")
-        none = F.filter(F.array(entry("words", m)), lambda _: F.lit(False))
+        none = F.array().cast("array<struct<kind:string,value:string>>")
         return F.when(url, F.array(entry("phrases", F.regexp_replace(m, r"[/.,;]+$", "")), entry("more", host))).when(m.rlike(r"\s"), F.array(entry("phrases", m))).when(word, F.array(entry("words", m))).otherwise(none)
 
     long = lambda rows: t.distinct_by(F.filter(rows, lambda e: F.length(e["value"]) > 1), lambda e: F.lower(e["value"]))
     found = long(F.flatten(F.transform(F.regexp_extract_all(q, F.lit(KEYWORD), F.lit(0)), entries)))
-    found = F.when(F.exists(found, lambda e: e["kind"] != "more"), found).otherwise(long(F.concat(found, F.array(entry("words", q)))))
-    of = lambda kind: F.transform(F.filter(found, lambda e: e["kind"] == kind), lambda e: e["value"]).alias(kind)
-    return F.struct(of("phrases"), of("words"), of("more"))
+    found = t.let(found, lambda rows: F.when(F.exists(rows, lambda e: e["kind"] != "more"), rows).otherwise(long(F.concat(rows, F.array(entry("words", q))))))
+    of = lambda rows, kind: F.transform(F.filter(rows, lambda e: e["kind"] == kind), lambda e: e["value"]).alias(kind)
+    return t.let(found, lambda rows: F.struct(of(rows, "phrases"), of(rows, "words"), of(rows, "more")))
 
 
 def merge_keywords(groups: list[Column], most: int) -> Column:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -100,3 +101,18 @@ def test_fallback_keywords(spark):
     assert found[5] == ([], ["b2", "cde"], [])
     assert found[6] == (["Mai Lan"], [], [])
     assert found[7][0][0].startswith("http://a.b/c?x=1") and found[7][2] == ["a.b"]
+
+
+def test_fallback_keywords_of_a_long_question(spark):
+    """Each step is computed once a question: in a second or two, not for each pair of words again."""
+    words = [f"w{k}x" for k in range(400)]
+    rows = spark.createDataFrame([(" ".join([*words, *(w.upper() for w in words)]),)], "q string")
+    started = time.monotonic()
+    (found,) = rows.select(rag.fallback_keywords(F.col("q")).alias("x")).collect()
+    assert (found.x.phrases, found.x.more) == ([" ".join(w.upper() for w in words)], []) and found.x.words == words
+    assert time.monotonic() - started < 30
+
+
+def test_distinct_by(spark):
+    rows = spark.createDataFrame([(["b", "A", None, "a", "B", "c", None],), ([],), (None,)], "x array<string>")
+    assert [r[0] for r in rows.select(t.distinct_by(F.col("x"))).collect()] == [["b", "A", "c"], [], None]
