@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphkiln.functions import text as t
+from graphkiln.functions.cut import cut
 from graphkiln.functions.ship import ship
 
 #: Weights of the canonical name's score.
@@ -16,6 +17,59 @@ PER_USE, PREFERRED, FIT_MOST, BEST_LENGTH = 2.0, 1.5, 3.0, 35
 SENTENCE = r"(?iU)\b(là|thuộc|được|refers|same|under|located|based)\b"
 
 
+#: Fixed value: about how many rows stand on each side when pairs are listed.
+SIDE = 512
+
+
+def jaccard_pairs(items: DataFrame, least: float) -> DataFrame:
+    """(block, a, b, jaccard): the pairs of keys a < b of a block whose sets of words have at least this Jaccard index, which is rounded to 6 places.
+
+    items: block, key, words (distinct). A word that only one of a block's different sets has is in no intersection. So sets with the
+    same shared words and the same size are one class, classes are compared, and the rows of the classes found are listed in pairs of
+    stretches, each dealt out on its own. Rows with the same set have an index of 1. Null blocks, keys and words are left out.
+    """
+    spark = items.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = items.select("block", "key", F.sort_array("words").alias("words")).dropna()
+    sets = rows.select("block", "words").distinct()
+    word = sets.select("block", "words", F.explode_outer("words").alias("word"))
+    shared = word.groupBy("block", "word").agg(F.count("*").alias("n")).filter("n > 1").select("block", "word", F.lit(True).alias("common"))
+    split = word.join(shared.hint("merge"), ["block", "word"], "left").groupBy("block", "words")
+    kinds = split.agg(F.sort_array(F.collect_list(F.when(F.col("common"), F.col("word")))).alias("common")).select("block", "words", F.struct("common", F.size("words").alias("size")).alias("kind"))
+    members = cut(rows.join(kinds.hint("merge"), ["block", "words"]).select("block", "kind", F.struct("key", F.array_except("words", "kind.common").alias("own")).alias("x")))
+
+    def share(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a["common"], b["common"]))
+        return both / (a["size"] + b["size"] - both).cast("double")
+
+    classes = members.groupBy("block", "kind").agg(F.count("*").alias("n"))
+    left, right = classes.select("block", F.col("kind").alias("k"), F.col("n").alias("nk")), classes.select("block", F.col("kind").alias("l"), F.col("n").alias("nl"))
+    found = left.join(right, "block").filter("k <= l").withColumn("share", share(F.col("k"), F.col("l"))).filter(F.col("share") >= least)
+    found = found.select("block", "k", "l", "nk", "nl", F.round("share", 6).alias("share"))
+    near = _listed(members, found, parts)
+    # The others of a class aren't near; the copies of a set in it are.
+    apart = members.filter(share(F.col("kind"), F.col("kind")) < least).select("block", F.struct("kind", "x.own").alias("kind"), "x")
+    copies = apart.groupBy("block", F.col("kind").alias("k")).agg(F.count("*").alias("nk")).filter("nk > 1")
+    copies = copies.select("block", "k", F.col("k").alias("l"), "nk", F.col("nk").alias("nl"), F.lit(1.0).alias("share"))
+    return near.unionByName(_listed(apart, copies, parts))
+
+
+def _listed(members: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """The pairs of the rows of kinds k <= l. members: block, kind, x (key, own); found: block, k, l, their numbers of rows nk and nl, share."""
+    pieces = lambda n: F.ceil(F.col(n) / SIDE).cast("long")
+    sizes = found.select("block", F.col("k").alias("kind"), F.col("nk").alias("n")).unionByName(found.select("block", F.col("l").alias("kind"), F.col("nl").alias("n"))).distinct()
+    piece = F.pmod(F.xxhash64("x.key"), pieces("n"))
+    stretches = members.join(sizes, ["block", "kind"]).groupBy("block", "kind", piece.alias("piece")).agg(F.collect_list("x").alias("xs"))
+    side = lambda k, i, xs: stretches.select("block", F.col("kind").alias(k), F.col("piece").alias(i), F.col("xs").alias(xs)).hint("merge")
+    each = found.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), pieces("nk") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), pieces("nl") - 1)))
+    each = each.filter("k < l OR i <= j").join(side("k", "i", "xs"), ["block", "k", "i"]).join(side("l", "j", "ys"), ["block", "l", "j"])
+    each = each.select("block", F.expr("k = l").alias("same"), F.expr("k = l AND i = j").alias("own_pairs"), "share", "i", "j", "xs", "ys").repartition(parts, "block", "share", "i", "j")
+    pairs = each.select("block", "same", "own_pairs", "share", "ys", F.explode("xs").alias("x")).select("block", "same", "own_pairs", "share", "x", F.explode("ys").alias("y"))
+    pairs = pairs.filter("x.key < y.key OR (NOT own_pairs AND x.key > y.key)")
+    jaccard = F.when(F.col("same") & (F.col("x.own") == F.col("y.own")), 1.0).otherwise(F.col("share"))
+    return pairs.select("block", F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), jaccard.alias("jaccard"))
+
+
 def short_penalty(name: Column, n_tokens: Column) -> Column:
     size = F.length(name)
     acronym = (n_tokens == 1) & (name == F.upper(name)) & (name != F.lower(name)) & (size <= 6)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphkiln.functions import text as t
+from graphkiln.operators import resolution
 from graphkiln.sources import star
 from graphkiln.sources.star import table
 
@@ -206,7 +207,5 @@ ALIASES = "list_distinct(list_filter(string_split(regexp_replace(lower(c_name ||
 def alias_jaccard(spark, d) -> DataFrame:
     """Pairs of a block that share at least half of their aliases."""
     words = F.split(F.regexp_replace(F.lower(F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit(" of "), F.col("c_nationkey").cast("string"))), "[^a-z0-9]+", " "), " ")
-    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("a"), F.array_distinct(F.array_remove(words, "")).alias("w"))
-    other = rows.select("block", F.col("a").alias("b"), F.col("w").alias("v"))
-    share = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v")).cast("double")
-    return rows.join(other, "block").filter("a < b").withColumn("jaccard", F.round(share, 6)).filter("jaccard >= 0.5").select("block", "a", "b", "jaccard")
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("key"), F.array_distinct(F.array_remove(words, "")).alias("words"))
+    return resolution.jaccard_pairs(rows, 0.5)
