@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphkiln.functions import text as t
@@ -97,7 +97,8 @@ def _looked_up(state: DataFrame, retrieve: Retrieve, query: str, stage: str) ->
     """``state``, cut, with the ``context`` of a query column (null without a query) and a new row of ``evidence``."""
     state = cut(state)
     found = retrieve(state.filter(F.col(query).isNotNull()).select("key", "way", F.col(query).alias("query")))
-    state = state.join(found.select("key", "way", "context"), ["key", "way"], "left")
+    # Contexts are as many as queries, whatever Catalyst takes them for: never broadcast.
+    state = state.join(found.select("key", "way", "context").hint("merge"), ["key", "way"], "left")
     state = state.withColumn("context", F.when(F.col(query).isNotNull(), F.coalesce("context", F.lit(""))))
     row = F.struct(F.lit(stage).alias("stage"), F.col(query).alias("query"), F.col("context").alias("context"))
     return state.withColumn("evidence", F.when(F.col(query).isNotNull(), F.array_append("evidence", row)).otherwise(F.col("evidence")))
@@ -153,17 +154,25 @@ def graph_search(questions: DataFrame, retrieve: Retrieve, provider: rag.Provide
 
 
 def by_names(nodes: DataFrame, edges: DataFrame, most: int = 10) -> Retrieve:
-    """Retrieval of the nodes that a query names as a word, with their first ``most`` edges by type and end. nodes: id; edges: source, type, target."""
+    """Retrieval of the nodes that a query names as a word, with their first ``most`` edges by type and end. nodes: id; edges: source, type, target.
+
+    The nodes' lists are made at the first lookup and kept. Catalyst takes the words, of which a query has many, for a small table, so
+    all joins say that they sort: none is broadcast.
+    """
+    kept = []
+
+    def lists() -> DataFrame:
+        # Catalyst cuts each task's edges of a node to its first ones before they are dealt out; a rank holds all copies of an edge.
+        first = F.dense_rank().over(Window.partitionBy("source").orderBy("type", "target"))
+        ends = edges.select("source", "type", "target", first.alias("rank")).filter(F.col("rank") <= most)
+        listed = ends.groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_set(F.struct("type", "target"))).alias("e"))
+        return nodes.select("id").distinct().join(listed.hint("merge"), "id", "left")
 
     def retrieve(queries: DataFrame) -> DataFrame:
+        if not kept:
+            kept.append(cut(lists()))
         words = queries.select("key", "way", F.explode(F.array_distinct(F.split("query", r"[\s?!,.;:]+"))).alias("id"))
-        named = words.join(nodes.select("id").distinct(), "id")
-        # Only the named nodes' edges are kept, ranked in a bounded list for each salt of a node before the lists meet.
-        wanted = edges.join(named.select(F.col("id").alias("source")).distinct(), "source").select("source", F.struct("type", "target").alias("e"))
-        first = lambda lists: F.slice(F.array_sort(F.array_distinct(lists)), 1, most)
-        salted = wanted.distinct().groupBy("source", F.pmod(F.xxhash64("e"), F.lit(64)).alias("salt")).agg(first(F.collect_list("e")).alias("e"))
-        listed = salted.groupBy(F.col("source").alias("id")).agg(first(F.flatten(F.collect_list("e"))).alias("e"))
-        found = named.join(listed, "id", "left")
+        found = words.join(kept[0].hint("merge"), "id")
         entities = F.array_sort(F.collect_set("id"))
         flat = F.transform(F.coalesce("e", F.array().cast("array<struct<type:string,target:string>>")), lambda e: F.struct(F.col("id").alias("source"), e["type"].alias("type"), e["target"].alias("target")))
         relations = F.array_sort(F.flatten(F.collect_list(flat)))

@@ -116,3 +116,14 @@ def test_fallback_keywords_of_a_long_question(spark):
 def test_distinct_by(spark):
     rows = spark.createDataFrame([(["b", "A", None, "a", "B", "c", None],), ([],), (None,)], "x array<string>")
     assert [r[0] for r in rows.select(t.distinct_by(F.col("x"))).collect()] == [["b", "A", "c"], [], None]
+
+
+def test_words_of_queries_are_not_broadcast(spark):
+    """Catalyst takes the many words of queries for a small table; the joins say that they sort, and lists hold the first distinct edges."""
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "IN", "t2"), ("a", "IN", "t1"), ("a", "IN", "t1"), ("a", "IN", "t3"), ("c", "IN", "t1")], "source string, type string, target string")
+    queries = spark.createDataFrame([(1, "semantic", "is a in b?"), (2, "semantic", "c")], "key long, way string, query string")
+    found = reasoning.by_names(nodes, edges, 2)(queries)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    (row,) = found.collect()
+    assert row.key == 1 and [x in row.context for x in ('"t1"', '"t2"', '"t3"', '["a","b"]')] == [True, True, False, True] and row.context.count("t1") == 1
